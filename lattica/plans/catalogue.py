@@ -22,3 +22,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def _fill() -> None:
+    from lattica.plans import changing, functional, relational  # noqa: F401
+
+
+_fill()
