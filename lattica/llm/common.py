@@ -1,15 +1,17 @@
-"""Reading tables, cutting lineage, joining past hot keys and running Arrow batches over texts."""
+"""Reading tables, joining past hot keys and running Arrow batches over texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.scratch import materialised, shared_dir
+
+__all__ = ["bounded_sample", "fold", "in_batches", "join_groups", "materialised", "shared_dir", "table"]
+
 #: Keys with over 1/HOT_SHARE of a table's rows are joined by broadcast; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -18,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the plan starts anew there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what materialised() wrote. Call it once no result that was built on it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lattica")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key, where a few keys may hold most rows.
 
