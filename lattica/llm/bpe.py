@@ -19,6 +19,7 @@ import unicodedata
 from collections import defaultdict
 from functools import lru_cache
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -222,7 +223,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """docs with an array of token ids; null texts get an empty one."""
 
     def run(texts):
-        return {ids: [[int(x) for x in joined.split()] for _, joined, _ in encoder(path).encode(texts)]}
+        return {ids: pa.array([[int(x) for x in joined.split()] for _, joined, _ in encoder(path).encode(texts)], pa.list_(pa.int32()))}
 
     others = [c for c in docs.columns if c != ids]
     held = docs.select(*others).withColumn("_text", docs[text])

@@ -41,7 +41,8 @@ def lane_sums(unit: str = "unit") -> list[Column]:
     """The aggregates s0.. and n that add up the hashed bits of units."""
     again = F.xxhash64(unit, F.lit(1))
     bits = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(PAIR)) for h in (F.col(unit), again) for s in range(32)]
-    return [F.coalesce(F.sum(b), F.lit(0)).alias(f"s{i}") for i, b in enumerate(bits)] + [F.count(unit).alias("n")]
+    n = F.count(unit)  # a text without units has one null row
+    return [F.when(n == 0, 0).otherwise(F.sum(b)).alias(f"s{i}") for i, b in enumerate(bits)] + [n.alias("n")]
 
 
 def vector() -> Column:
