@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.sources.scratch import materialised, shared_dir
+from lattica.sources.tables import load as table
 
 __all__ = ["bounded_sample", "fold", "in_batches", "join_groups", "materialised", "shared_dir", "table"]
 
@@ -16,10 +17,6 @@ __all__ = ["bounded_sample", "fold", "in_batches", "join_groups", "materialised"
 HOT_SHARE = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key, where a few keys may hold most rows.
 
