@@ -3,8 +3,7 @@
 Two fingerprints with at most ``max_distance`` differing bits agree in at least ``blocks - max_distance`` of
 any ``blocks`` disjoint blocks. Each distinct fingerprint is listed under every combination of that many
 blocks (35 keys of about 27 bits for seven blocks and four bits), and only fingerprints that share a key are
-compared. A pair is given out under the first combination that it shares, so pairs need no deduplication.
-Equal fingerprints are one row throughout, however many documents have them.
+compared. Equal fingerprints are one row throughout, however many documents have them.
 """
 
 from __future__ import annotations
@@ -60,14 +59,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(prints: DataFrame, max_distance: int = 4, blocks: int = 7) -> DataFrame:
-    """(a, b): ids of the fingerprints in prints (columns rep and fp, both distinct) with at most max_distance differing bits."""
-    masks = [F.lit(_signed(m)) for m in block_masks(blocks, blocks - max_distance)]
-    listed = prints.select("rep", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("combo", "key"))
-    left, right = (listed.select(F.col("rep").alias(f"{s}"), F.col("fp").alias(f"fp_{s}"), "combo", "key") for s in ("a", "b"))
+def _listed(prints: DataFrame, masks: list[int]) -> DataFrame:
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))
+    return prints.select("*", F.posexplode(keys).alias("combo", "key"))
+
+
+def star_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(a, b): of the fingerprints that share a key, each with the key's leader, the one with the least hash, where they are near."""
+    masks = block_masks(blocks, blocks - max_distance)
+    first = F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("rep").alias("b"), F.col("fp").alias("fp_b"))).alias("l")
+    leaders = _listed(prints, masks).groupBy("combo", "key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    leaders = materialised(leaders.select("combo", "key", "l.b", "l.fp_b"), "leaders")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_distance
+    return _listed(prints, masks).join(leaders, ["combo", "key"]).filter((F.col("rep") != F.col("b")) & near).select(F.col("rep").alias("a"), "b")
+
+
+def cross_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(a, b): the components, a column of prints beside rep and fp, that a near pair of fingerprints connects. A pair is
+    met under the first combination that it shares only."""
+    masks = block_masks(blocks, blocks - max_distance)
+    left, right = (_listed(prints, masks).select(F.col("component").alias(s), F.col("fp").alias(f"fp_{s}"), "combo", "key") for s in ("a", "b"))
     differ: Column = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(m) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    return left.join(right, ["combo", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & (first == F.col("combo"))).select("a", "b")
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)))
+    return left.join(right, ["combo", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & (first == F.col("combo"))).select("a", "b").distinct()
+
+
+def _labelled(prints: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """prints with component: what links connect the column by to, or that itself."""
+    found = connected_components(links).withColumnRenamed("component", "_to")
+    joined = prints.join(found, F.col(by) == F.col("node"), "left").select("rep", "fp", F.coalesce("_to", by).alias("component"))
+    return materialised(joined, "labelled")
+
+
+def near_components(prints: DataFrame, max_distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(rep, fp, component) of prints, distinct fingerprints with an id: the least id that links of at most max_distance bits lead to.
+
+    Links to leaders, as many as rows at most for each key, come first; they join most of a dense group. What
+    is left are links between different components of these, of which only the pairs of components are kept.
+    No link is lost and no group gives all its pairs.
+    """
+    stars = _labelled(prints, star_links(prints, max_distance, blocks), "rep")
+    return _labelled(stars, cross_links(stars, max_distance, blocks), "component")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, max_distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -78,9 +110,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     """
     prints = materialised(fingerprints(docs, id, text, words), "simhash")
     reps = materialised(prints.groupBy("fp").agg(F.min(id).alias("rep")), "reps")
-    pairs = materialised(near_pairs(reps.filter("rep is not null"), max_distance, blocks), "pairs")
-    joined = reps.join(connected_components(pairs), F.col("rep") == F.col("node"), "left")
-    named = materialised(joined.select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
+    joined = near_components(reps.filter("rep is not null"), max_distance, blocks)
+    named = joined.select("fp", F.col("component").alias("component_id"))
+    named = materialised(named.unionByName(reps.filter("rep is null").select("fp", F.col("rep").alias("component_id"))), "named")
     return prints.join(named, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
