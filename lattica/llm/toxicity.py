@@ -1,7 +1,7 @@
 """A toxicity classifier with counterfactual regularisation.
 
-It is fitted on a bounded sample of labelled rows. The features are the presence of words and of their first
-4 to 8 letters; Spark counts how many documents of each class hold a feature, and the FEATURES most telling
+It is fitted on a bounded sample of labelled rows. The features are the presence of words, once or
+repeatedly, and of their first 4 to 8 letters; Spark counts how many documents of each class hold a feature, and the FEATURES most telling
 ones are weighed by logistic regression. Counterfactual pairs come from the sample: each text that names a
 group is compared with the same sentences naming another group, and the square of the change in score is
 penalised, so that which group a text mentions doesn't move its score.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,8 +70,11 @@ class Features:
     def __call__(self, text: str | None) -> set[int]:
         out: set[int] = set()
         known = self.words
-        for w in set(WORD.findall((text or "").lower())):
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
             out.update(known[w] if w in known else self.of_word(w))
+            if n > 1:
+                w = f"2{w}"
+                out.update(known[w] if w in known else self.of_word(w))
         return out
 
 
@@ -122,7 +126,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "id")
 
 
-def fit(sample: DataFrame, penalty: float = 1.0, ridge: float = 3e-4) -> ToxicityModel:
+def fit(sample: DataFrame, penalty: float = 1.0, ridge: float = 1e-5) -> ToxicityModel:
     """sample: as labelled_sample() gives it. With one class only, or none, every text scores low.
 
     What reaches the driver is bounded: FEATURES features and, of the sample's rows, the features they have
@@ -134,7 +138,7 @@ def fit(sample: DataFrame, penalty: float = 1.0, ridge: float = 3e-4) -> Toxicit
         return ToxicityModel()
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     telling = (F.log(p / (n[1] + 1.0)) - F.log(q / (n[0] + 1.0))) / F.sqrt(1 / p + 1 / q)  # log ratio over its standard error
-    best = feature_counts(data).filter(F.col("pos") + F.col("neg") >= MIN_DOCS).select("bin", telling.alias("z")).orderBy(F.abs("z").desc(), "bin").limit(FEATURES).collect()
+    best = feature_counts(data).filter(F.col("pos") + F.col("neg") >= MIN_DOCS).select("bin", telling.alias("z")).filter("z > 0").orderBy(F.desc("z"), "bin").limit(FEATURES).collect()
     chosen = {r["bin"]: i for i, r in enumerate(sorted(best, key=lambda r: r["bin"]))}
     features = Features(chosen)
 
