@@ -12,6 +12,7 @@ Two lanes are kept in one long (bits 0-31 and 32-63) while they are summed, so t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,11 +100,11 @@ def id_buckets(id: Column, bounds: Sequence[int]) -> Column:
     step = max(1, round(len(bounds) ** 0.5))
     blocks = [list(bounds[i : i + step]) for i in range(0, len(bounds), step)]
 
-    def longs(values) -> Column:
-        return F.array(*(F.lit(v).cast("long") for v in values)) if values else F.array().cast("array<bigint>")
+    def constant(values: list, kind: str) -> Column:  # one literal, folded by the optimizer, however long
+        return F.from_json(F.lit(json.dumps(values)), kind)
 
-    coarse = F.size(F.filter(longs([b[0] for b in blocks[1:]]), lambda x: x <= id))
-    fine = F.size(F.filter(F.element_at(F.array(*map(longs, blocks)), coarse + 1), lambda x: x <= id))
+    coarse = F.size(F.filter(constant([b[0] for b in blocks[1:]], "array<bigint>"), lambda x: x <= id))
+    fine = F.size(F.filter(F.element_at(constant(blocks, "array<array<bigint>>"), coarse + 1), lambda x: x <= id))
     return F.coalesce(F.when(id.isNotNull(), coarse * step + fine), F.lit(len(bounds)))
 
 
