@@ -162,3 +162,8 @@ def tumbling_window(spark, sf_dir):
     SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, sid""")
 def session_window(spark, sf_dir):
     return windows.sessions(load(spark, sf_dir, "events"), "ts", "30 minutes", "user_id", n=F.count(F.lit(1)))
+
+
+@query("""SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, count(*) AS n, max(value) AS top FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY s""")
+def sliding_window(spark, sf_dir):
+    return windows.sliding(load(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", n=F.count(F.lit(1)), top=F.max("value"))
