@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _fill() -> None:
-    from lattica.plans import changing, functional, relational  # noqa: F401
+    from lattica.plans import changing, functional, library, relational  # noqa: F401
 
 
 _fill()
