@@ -12,8 +12,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows, if SQL can say it."""
+def query(sql: str | None = None, **kinds: str) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows, if SQL can say it.
+
+    kinds: types that the SQL engine gives otherwise than Spark, by column.
+    """
+    if sql and kinds:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in kinds.items())}) FROM ({sql})"
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f

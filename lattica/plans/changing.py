@@ -49,7 +49,7 @@ def connect_by_nocycle(spark, sf_dir):
     return hierarchy.connect_by(ring, "id", "parent", F.col("id") == 0, nocycle=True).select("id", "level", F.col("connect_by_iscycle").alias("iscycle"))
 
 
-@query("SELECT n_nationkey, u.range AS level FROM nation, range(1, 4) u WHERE u.range <= n_regionkey")
+@query("SELECT n_nationkey, u.range AS level FROM nation, range(1, 4) u WHERE u.range <= n_regionkey", level="INTEGER")
 def connect_by_generator(spark, sf_dir):
     return hierarchy.generate(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("n_regionkey").cast("int")).filter("level <= 3").select("n_nationkey", "level")
 

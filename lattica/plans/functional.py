@@ -23,7 +23,7 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, ceil(c_acctbal) AS up, floor(c_acctbal) AS down, sign(c_acctbal) AS sg, round(c_acctbal, 1) AS r1, round(c_acctbal, -2) AS r_2, trunc(c_acctbal) AS t0, round(trunc(c_acctbal * 10) / 10, 8) AS t1, c_custkey % 7 AS m7, c_custkey AS m0,
-    greatest(c_acctbal, 10) AS g, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE greatest(c_custkey, 50) END AS gn, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE least(c_custkey, 50) END AS ln FROM customer""")
+    greatest(c_acctbal, 10) AS g, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE greatest(c_custkey, 50) END AS gn, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE least(c_custkey, 50) END AS ln FROM customer""", up="BIGINT", down="BIGINT", sg="DOUBLE")
 def rounding_and_extremes(spark, sf_dir):
     b, k = F.col("c_acctbal"), F.col("c_custkey")
     some = F.when(k % 5 != 0, k)
@@ -43,7 +43,7 @@ def null_functions(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, upper(c_name) AS up, lower(c_name) AS lo, length(c_name) AS len, octet_length(encode(c_name)) AS bytes, left(c_name, 4) AS l4, right(c_name, 3) AS r3, lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 12, '-') AS rp, repeat('ab', 3) AS rep, reverse(c_mktsegment) AS rev,
-    replace(c_name, '#', '') AS rpl, translate(c_mktsegment, 'AEIOU', '12345') AS tr, ascii(c_name) AS asc, chr(65) AS ch, concat_ws('-', c_custkey, c_mktsegment) AS cw, instr(c_name, '#') AS pos, substring(c_name, 3, 5) AS sub, right(c_name, 5) AS subn, trim('x' FROM 'xxabxx') AS tb, ltrim('xxab', 'x') AS tl, rtrim('abxx', 'x') AS rt, md5(c_name) AS md FROM customer""")
+    replace(c_name, '#', '') AS rpl, translate(c_mktsegment, 'AEIOU', '12345') AS tr, ascii(c_name) AS asc, chr(65) AS ch, concat_ws('-', c_custkey, c_mktsegment) AS cw, instr(c_name, '#') AS pos, substring(c_name, 3, 5) AS sub, right(c_name, 5) AS subn, trim('x' FROM 'xxabxx') AS tb, ltrim('xxab', 'x') AS tl, rtrim('abxx', 'x') AS rt, md5(c_name) AS md FROM customer""", len="INTEGER", bytes="INTEGER", pos="INTEGER")
 def string_functions(spark, sf_dir):
     n, g = F.col("c_name"), F.col("c_mktsegment")
     return load(spark, sf_dir, "customer").select(
@@ -53,13 +53,13 @@ def string_functions(spark, sf_dir):
     )
 
 
-@query("""SELECT conv_id, turn, len(regexp_extract_all(text, '[aeiou]+')) AS vowels, regexp_replace(text, '[0-9]+', '#', 'g') AS masked, regexp_extract(text, '[A-Z][a-z]+') AS word, list_extract(regexp_extract_all(text, '[a-z]+'), 2) AS second, split_part(text, ' ', 1) AS head FROM conversations""")
+@query("""SELECT conv_id, turn, len(regexp_extract_all(text, '[aeiou]+')) AS vowels, regexp_replace(text, '[0-9]+', '#', 'g') AS masked, regexp_extract(text, '[A-Z][a-z]+') AS word, list_extract(regexp_extract_all(text, '[a-z]+'), 2) AS second, split_part(text, ' ', 1) AS head FROM conversations""", vowels="INTEGER")
 def regexp_functions(spark, sf_dir):
     t = F.col("text")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", strings.regexp_count(t, "[aeiou]+").alias("vowels"), strings.regexp_replace(t, "[0-9]+", "#").alias("masked"), F.coalesce(strings.regexp_substr(t, "[A-Z][a-z]+"), F.lit("")).alias("word"), strings.regexp_substr(t, "[a-z]+", 1, 2).alias("second"), strings.substring_index(t, " ", 1).alias("head"))
 
 
-@query("""SELECT doc_id, strpos(text, 'e') AS first_e, CASE WHEN strpos(substr(text, 10), 'e') = 0 THEN 0 ELSE strpos(substr(text, 10), 'e') + 9 END AS from10, octet_length(encode(substr(text, 1, 50))) AS bytes, length(text) AS n FROM documents""")
+@query("""SELECT doc_id, strpos(text, 'e') AS first_e, CASE WHEN strpos(substr(text, 10), 'e') = 0 THEN 0 ELSE strpos(substr(text, 10), 'e') + 9 END AS from10, octet_length(encode(substr(text, 1, 50))) AS bytes, length(text) AS n FROM documents""", first_e="INTEGER", from10="INTEGER", bytes="INTEGER", n="INTEGER")
 def instr_positions(spark, sf_dir):
     t = F.col("text")
     from10 = F.locate("e", t, 10)
@@ -68,7 +68,7 @@ def instr_positions(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN d = last_day(d) THEN last_day(CAST(d + INTERVAL 1 MONTH AS DATE)) ELSE CAST(d + INTERVAL 1 MONTH AS DATE) END::TIMESTAMP + (o_orderdate - d::TIMESTAMP) AS next_month, last_day(d)::TIMESTAMP + (o_orderdate - d::TIMESTAMP) AS month_end,
     year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS dd, hour(o_orderdate) AS h, date_trunc('month', o_orderdate)::TIMESTAMP AS tm, date_trunc('year', o_orderdate)::TIMESTAMP AS ty, CASE WHEN day(d) >= 16 THEN date_trunc('month', o_orderdate + INTERVAL 1 MONTH) ELSE date_trunc('month', o_orderdate) END::TIMESTAMP AS rm
-    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey < 400)""")
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey < 400)""", y="INTEGER", q="INTEGER", m="INTEGER", dd="INTEGER", h="INTEGER")
 def date_functions(spark, sf_dir):
     d = F.col("o_orderdate").cast("timestamp")
     return load(spark, sf_dir, "orders").filter("o_orderkey < 400").select(
@@ -77,7 +77,7 @@ def date_functions(spark, sf_dir):
     )
 
 
-@query("""SELECT event_id, ts + INTERVAL 36 HOUR AS later, round(epoch_us(ts) / 86400000000.0 - 19000, 8) AS days, date_diff('day', TIMESTAMP '2020-01-01', date_trunc('day', ts)) AS d, strftime(ts, '%Y/%m/%d %H:%M:%S') AS txt, upper(strftime(ts, '%b')) AS mon, quarter(ts)::VARCHAR AS q, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS back FROM events""")
+@query("""SELECT event_id, ts + INTERVAL 36 HOUR AS later, round(epoch_us(ts) / 86400000000.0 - 19000, 8) AS days, date_diff('day', TIMESTAMP '2020-01-01', date_trunc('day', ts)) AS d, strftime(ts, '%Y/%m/%d %H:%M:%S') AS txt, upper(strftime(ts, '%b')) AS mon, quarter(ts)::VARCHAR AS q, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS back FROM events""", d="INTEGER")
 def date_arithmetic_formats(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
     start = F.lit("1970-01-01").cast("timestamp")
@@ -129,7 +129,7 @@ def json_construct_change(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", jsonx.json_array(n, None).alias("arr"), made.alias("obj"), jsonx.json_mergepatch(made, patch).alias("patched"), jsonx.json_set(made, "$.id", F.lit("-1")).alias("put"), jsonx.json_array_length(F.lit("[1,2]")).alias("len"), jsonx.json_query(doc, "$.a").alias("q"))
 
 
-@query("""SELECT o_orderkey, u.i AS pos, o_orderkey * 10 + u.i AS val FROM orders, (SELECT range AS i FROM range(1, 4)) u WHERE o_orderkey < 200""")
+@query("""SELECT o_orderkey, u.i AS pos, o_orderkey * 10 + u.i AS val FROM orders, (SELECT range AS i FROM range(1, 4)) u WHERE o_orderkey < 200""", pos="INTEGER")
 def json_table_rows(spark, sf_dir):
     k = F.col("o_orderkey")
     doc = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct((k * 10 + i).alias("v"))).alias("items")))

@@ -53,13 +53,13 @@ def window_frames_beside(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", F.first(rich, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("first_rich"), F.count(F.lit(1)).over(w.rowsBetween(1, 3)).alias("ahead"), F.round(F.avg("c_acctbal").over(w.rowsBetween(-3, -1)), 4).alias("before"))
 
 
-@query("""SELECT n_nationkey, substr(n_name, 1, 2) || '**' || substr(n_name, 4) AS ins, CASE n_regionkey WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS in_set, split_part(n_name, ' ', 1) AS head, '   ' AS sp, length(n_name) AS vs, instr(substr(n_name, 2), 'A') > 0 AS has_a, bit_length(n_name) / 8 AS lb FROM nation""")
+@query("""SELECT n_nationkey, substr(n_name, 1, 2) || '**' || substr(n_name, 4) AS ins, CASE n_regionkey WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS in_set, split_part(n_name, ' ', 1) AS head, '   ' AS sp, length(n_name) AS vs, instr(substr(n_name, 2), 'A') > 0 AS has_a, bit_length(n_name) / 8 AS lb FROM nation""", vs="INTEGER", lb="INTEGER")
 def more_strings(spark, sf_dir):
     n = F.col("n_name")
     return load(spark, sf_dir, "nation").select("n_nationkey", strings.insert(n, 3, 1, "**").alias("ins"), strings.find_in_set(F.col("n_regionkey").cast("string"), F.lit("4,1")).alias("in_set"), strings.substring_index(n, " ", 1).alias("head"), F.repeat(F.lit(" "), 3).alias("sp"), strings.lengthb(n).alias("vs"), (strings.instr(n, "A", 2) > 0).alias("has_a"), F.octet_length(n).alias("lb"))
 
 
-@query("""SELECT n_nationkey, '[' || n_nationkey || ']' AS with_, NULL AS without_, '[]' AS empty_, true AS is_array, n_nationkey AS val FROM nation""")
+@query("""SELECT n_nationkey, '[' || n_nationkey || ']' AS with_, NULL AS without_, '[]' AS empty_, true AS is_array, n_nationkey AS val FROM nation""", without_="VARCHAR")
 def json_clauses(spark, sf_dir):
     doc = jsonx.json_object("a", F.col("n_nationkey"), "l", F.array(F.col("n_nationkey")))
     return load(spark, sf_dir, "nation").select("n_nationkey", jsonx.json_query(doc, "$.a", "with").alias("with_"), jsonx.json_query(doc, "$.a").alias("without_"), jsonx.json_query(doc, "$.zz", on_error="empty").alias("empty_"), jsonx.json_query(doc, "$.l").startswith("[").alias("is_array"), jsonx.json_value(doc, "$.l[0]", "int").alias("val"))
@@ -77,7 +77,7 @@ def latest_row(spark, sf_dir):
     return dml.latest(load(spark, sf_dir, "orders"), ["o_custkey"], ["-o_orderdate", "-o_orderkey"]).select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("latest"), "o_orderkey")
 
 
-@query("""SELECT o_orderstatus, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus, y), (y)) HAVING sum(o_totalprice) > 1000""")
+@query("""SELECT o_orderstatus, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus, y), (y)) HAVING sum(o_totalprice) > 1000""", y="INTEGER")
 def grouping_expressions(spark, sf_dir):
     o = load(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
     return grouping.grouping_sets(o, [["o_orderstatus", "y"], ["y"]], F.round(F.sum("o_totalprice"), 2).alias("total"), having=F.col("total") > 1000)

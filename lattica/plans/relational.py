@@ -144,14 +144,14 @@ def scalar_subquery(spark, sf_dir):
     return joins.lookup_aggregate(kept, li.withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], avg_qty=F.round(F.avg("l_quantity"), 6)).select("o_orderkey", "o_totalprice", "avg_qty")
 
 
-@query("""SELECT s_suppkey, e.lo, count(*) AS n FROM supplier JOIN (SELECT range * 1000.0 - 1000 AS lo, range * 1000.0 AS hi FROM range(0, 12)) e ON s_acctbal >= e.lo AND s_acctbal < e.hi GROUP BY 1, 2""")
+@query("""SELECT s_suppkey, e.lo, count(*) AS n FROM supplier JOIN (SELECT range * 1000.0 - 1000 AS lo, range * 1000.0 AS hi FROM range(0, 12)) e ON s_acctbal >= e.lo AND s_acctbal < e.hi GROUP BY 1, 2""", lo="DOUBLE")
 def range_join(spark, sf_dir):
     bands = spark.range(12).select((F.col("id") * 1000.0 - 1000).alias("lo"), (F.col("id") * 1000.0).alias("hi"))
     return joins.range_join(load(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 1000).groupBy("s_suppkey", "lo").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT c_mktsegment, count(DISTINCT c_nationkey) AS nations, sum(DISTINCT c_nationkey) AS total, round(stddev_samp(c_acctbal), 4) AS sd, round(var_pop(c_acctbal), 2) AS vp, round(median(c_acctbal), 4) AS med,
-    round(corr(c_acctbal, c_custkey), 8) AS r, round(covar_pop(c_acctbal, c_custkey), 3) AS cp, round(covar_samp(c_acctbal, c_custkey), 3) AS cs FROM customer GROUP BY c_mktsegment""")
+    round(corr(c_acctbal, c_custkey), 8) AS r, round(covar_pop(c_acctbal, c_custkey), 3) AS cp, round(covar_samp(c_acctbal, c_custkey), 3) AS cs FROM customer GROUP BY c_mktsegment""", total="BIGINT")
 def statistics_aggregates(spark, sf_dir):
     b, k = F.col("c_acctbal"), F.col("c_custkey")
     return load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
@@ -181,13 +181,13 @@ def approx_distinct(spark, sf_dir):
 
 
 @query("""SELECT c_mktsegment, 1 + sum(CASE WHEN c_acctbal < 5000 THEN 1 ELSE 0 END) AS rank_5000, 1 + count(DISTINCT CASE WHEN c_nationkey < 10 THEN c_nationkey END) AS dense_10,
-    round((sum(CASE WHEN c_acctbal <= 5000 THEN 1 ELSE 0 END) + 1) / (count(*) + 1), 8) AS cume FROM customer GROUP BY c_mktsegment""")
+    round((sum(CASE WHEN c_acctbal <= 5000 THEN 1 ELSE 0 END) + 1) / (count(*) + 1), 8) AS cume FROM customer GROUP BY c_mktsegment""", rank_5000="BIGINT")
 def hypothetical_set(spark, sf_dir):
     return load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(compat.rank_of(5000, F.col("c_acctbal")).alias("rank_5000"), compat.dense_rank_of(10, F.col("c_nationkey")).alias("dense_10"), F.round(compat.cume_dist_of(5000, F.col("c_acctbal")), 8).alias("cume"))
 
 
 @query("""SELECT c_mktsegment, c_nationkey, count(*) AS n, grouping(c_mktsegment) AS g_seg, grouping(c_mktsegment) * 2 + grouping(c_nationkey) AS gid FROM customer
-    GROUP BY GROUPING SETS ((c_mktsegment, c_nationkey), (c_mktsegment), ()) HAVING count(*) > 1""")
+    GROUP BY GROUPING SETS ((c_mktsegment, c_nationkey), (c_mktsegment), ()) HAVING count(*) > 1""", g_seg="INTEGER", gid="INTEGER")
 def grouping_sets(spark, sf_dir):
     return grouping.grouping_sets(load(spark, sf_dir, "customer"), [["c_mktsegment", "c_nationkey"], ["c_mktsegment"], []], F.count(F.lit(1)).alias("n"), F.grouping("c_mktsegment").cast("int").alias("g_seg"), F.grouping_id("c_mktsegment", "c_nationkey").cast("int").alias("gid"), having=F.col("n") > 1)
 
@@ -221,7 +221,7 @@ def unpivot(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(3) OVER w AS tile, round(cume_dist() OVER w, 8) AS cd
-    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC NULLS FIRST, l_linenumber, l_extendedprice, l_partkey)""")
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC NULLS FIRST, l_linenumber, l_extendedprice, l_partkey)""", rn="INTEGER", rk="INTEGER", dr="INTEGER", tile="INTEGER")
 def window_ranking(spark, sf_dir):
     w = ordering.over(["l_orderkey"], "-l_quantity", "l_linenumber", "l_extendedprice", "l_partkey")
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.ntile(3).over(w).alias("tile"), F.round(F.cume_dist().over(w), 8).alias("cd"))
@@ -246,7 +246,7 @@ def window_range_frames(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, count(DISTINCT c_mktsegment) OVER (PARTITION BY c_nationkey) AS segments, CASE WHEN count(c_acctbal) OVER (PARTITION BY c_nationkey) = 1 THEN 0 ELSE round(stddev_samp(c_acctbal) OVER (PARTITION BY c_nationkey), 4) END AS sd,
-    max(c_acctbal) OVER (PARTITION BY c_nationkey) AS high FROM customer""")
+    max(c_acctbal) OVER (PARTITION BY c_nationkey) AS high FROM customer""", segments="INTEGER")
 def window_distinct_and_spread(spark, sf_dir):
     w = ordering.over(["c_nationkey"])
     return load(spark, sf_dir, "customer").select("c_custkey", ordering.count_distinct_over(F.col("c_mktsegment"), w).alias("segments"), F.round(ordering.spread_over(F.col("c_acctbal"), w), 4).alias("sd"), F.max("c_acctbal").over(w).alias("high"))
@@ -349,7 +349,7 @@ def bind_parameters_view(spark, sf_dir):
     return spark.sql("SELECT s_suppkey, s_acctbal, round(:factor * s_acctbal, 2) AS twice FROM supplier_view WHERE s_nationkey > :least", args={"factor": 2, "least": 3})
 
 
-@query("SELECT vec_id, embedding[1] AS first_item, list_slice(embedding, 2, 4) AS part, len(embedding) AS n, unnest(embedding[1:2]) AS each FROM embeddings WHERE vec_id < 200")
+@query("SELECT vec_id, embedding[1] AS first_item, list_slice(embedding, 2, 4) AS part, len(embedding) AS n, unnest(embedding[1:2]) AS each FROM embeddings WHERE vec_id < 200", n="INTEGER")
 def array_access_unnest(spark, sf_dir):
     e = F.col("embedding")
     return load(spark, sf_dir, "embeddings").filter("vec_id < 200").select("vec_id", F.element_at(e, 1).alias("first_item"), F.slice(e, 2, 3).alias("part"), F.size(e).alias("n"), F.explode(F.slice(e, 1, 2)).alias("each"))

@@ -1,11 +1,13 @@
 """Every query with an oracle gives the oracle's rows; every other query runs."""
 
+import os
+
 import pytest
 
 from lattica.plans import catalogue
 from tests.oracles import connect, difference
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
