@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.ordering import order_by
-
-#: Levels between two cuts of the lineage.
-CUT_EVERY = 8
+from lattica.sources.scratch import materialised
 
 
 class CycleError(ValueError):
@@ -20,7 +18,8 @@ class CycleError(ValueError):
 def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of: str | None = None, separator: str = "/", order_siblings: Sequence[str] = (), nocycle: bool = False, levels: int = 1000) -> DataFrame:
     """df's rows in the tree with level, root, connect_by_isleaf, connect_by_iscycle, path and sibling_path.
 
-    One equi-join a level, with the frontier on one side; it ends with the first empty level. A row whose id is
+    One equi-join a level, of the last level's rows with the table; each level is written once to the shared
+    folder, so plans don't grow with depth, and the first empty one ends it. A row whose id is
     among its ancestors' closes a cycle: with nocycle it is left out and the ancestor that leads to it is
     marked, otherwise it raises. sibling_path orders the rows depth first, siblings by order_siblings or id:
     sort by it. A WHERE belongs behind this call: it takes out rows, not what hangs below them.
@@ -32,8 +31,9 @@ def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of:
         *df.columns, F.lit(1).alias("level"), F.col(id).alias("root"), F.concat(F.lit(separator), "_name").alias("path"), F.array(id).alias("_ids"), F.array("_rank").alias("sibling_path")
     )
     children = base.select(*(F.col(c).alias(f"_c_{c}") for c in df.columns), F.col("_name").alias("_cn"), F.col("_rank").alias("_cr"))
+    front = materialised(front, "level")
     found, cyclic = front, None
-    for depth in range(1, levels):
+    for _ in range(1, levels):
         joined = front.join(children, F.col(id) == F.col(f"_c_{parent}"))
         again = F.array_contains("_ids", F.col(f"_c_{id}"))
         closing = joined.filter(again).select("_ids")
@@ -45,8 +45,7 @@ def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of:
             *(F.col(f"_c_{c}").alias(c) for c in df.columns), (F.col("level") + 1).alias("level"), "root", F.concat("path", F.lit(separator), "_cn").alias("path"),
             F.concat("_ids", F.array(f"_c_{id}")).alias("_ids"), F.concat("sibling_path", F.array("_cr")).alias("sibling_path"),
         )
-        if depth % CUT_EVERY == 0 and df.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
+        front = materialised(front, "level")
         if not front.limit(1).count():
             break
         found = found.unionAll(front)

@@ -71,11 +71,24 @@ def listagg_over(x: Column, partition: Sequence[str], separator: str = "") -> Co
     return F.array_join(F.array_sort(F.collect_list(x.cast("string")).over(W.partitionBy(*partition))), separator)
 
 
-def moving(df: DataFrame, partition: Sequence[str], by: str, start: Column, end: Column, x: str, name: str, aggregate=F.sum) -> DataFrame:
-    """A ROWS frame whose bounds are expressions of the row: from start rows before to end rows after it, summed up by array slices."""
+def moving_sum(df: DataFrame, partition: Sequence[str], by: str, start: Column, end: Column, x: str, name: str) -> DataFrame:
+    """SUM over a ROWS frame whose bounds are expressions of the row: from start rows before to end rows after it.
+
+    A frame's sum is the difference of two running sums, which are looked up by row number; work doesn't grow
+    with the frames. Keys of partition and order should decide the order.
+    """
     spec = over(partition, by)
-    whole = W.partitionBy(*partition).orderBy(*keys(by)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rn = F.row_number().over(spec)
-    first = F.greatest(rn - start, F.lit(1))
-    part = F.slice(F.collect_list(F.col(x)).over(whole), first, F.greatest(rn + end - first + 1, F.lit(0)))
-    return df.withColumn(name, F.aggregate(part, F.lit(0).cast("double"), lambda a, v: a + v))
+    value = F.coalesce(F.col(x), F.lit(0)).cast("double")
+    base = df.select("*", F.row_number().over(spec).alias("_rn"), F.sum(value).over(spec.rowsBetween(W.unboundedPreceding, 0)).alias("_run"), F.count(F.lit(1)).over(W.partitionBy(*partition)).alias("_n"))
+    base = materialised(base.withColumns({"_hi": F.least(F.col("_rn") + end, F.col("_n")).cast("int"), "_lo": (F.greatest(F.col("_rn") - start, F.lit(1)) - 1).cast("int")}), "frames")
+
+    def looked_up(rows: DataFrame, place: str, run: str) -> DataFrame:
+        runs = base.select(*(F.col(k).alias(f"{place}{k}") for k in partition), F.col("_rn").alias(f"{place}_rn"), F.col("_run").alias(run))
+        same = F.col(place) == F.col(f"{place}_rn")
+        for k in partition:
+            same = same & F.col(k).eqNullSafe(F.col(f"{place}{k}"))
+        return rows.join(runs, same, "left")
+
+    out = looked_up(looked_up(base, "_hi", "_upto"), "_lo", "_before")
+    total = F.when(F.col("_hi") > F.col("_lo"), F.coalesce("_upto", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0)))
+    return out.select(*df.columns, total.alias(name))

@@ -260,7 +260,7 @@ def window_listagg(spark, sf_dir):
 
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN o_orderkey % 2 PRECEDING AND 1 FOLLOWING), 2) AS moved FROM orders")
 def window_variable_frame(spark, sf_dir):
-    out = ordering.moving(load(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", (F.col("o_orderkey") % 2).cast("int"), F.lit(1), "o_totalprice", "moved")
+    out = ordering.moving_sum(load(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", (F.col("o_orderkey") % 2).cast("int"), F.lit(1), "o_totalprice", "moved")
     return out.select("o_orderkey", F.round("moved", 2).alias("moved"))
 
 

@@ -209,3 +209,10 @@ def test_pruning(spark, tmp_path):
     tables.create_as(tables.range_partition(spark.range(100), "id", [("p1", 10), ("pmax", None)]), path, ["part"])
     plan = tables.partition(spark, path, "p1")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and tables.partition(spark, path, "p1").count() == 10
+
+
+def test_moving_sum(spark):
+    rows = [(p, k, float(k % 5) if k % 4 else None, k % 3) for p in ("a", "b", None) for k in range(12)]
+    df = spark.createDataFrame(rows, "p string, k int, x double, s int")
+    got = {(r.p, r.k): r.m for r in ordering.moving_sum(df, ["p"], "k", F.col("s"), F.lit(1), "x", "m").collect()}
+    assert got == {(p, k): sum(x or 0 for q, j, x, _ in rows if q == p and k - s <= j <= k + 1) for p, k, _, s in rows}
