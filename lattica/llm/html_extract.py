@@ -20,6 +20,7 @@ HIDDEN = frozenset("script style noscript template svg math head title iframe ob
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+HOLDERS = BLOCK - SCORED | {"td"}  # what can be the container of an article
 CLOSES_P = BLOCK - {"html", "body"}
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe"))
 UNLIKELY = re.compile(r"\b(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|social|sidebar|side|related|recommend\w*|breadcrumbs?|menu|navbar|navigation|nav|footer|header|masthead|comments?|replies|respond|disqus|pagination|pager|toolbar|widget|notice|disclaimer|legal|login|skip|tags?)\b")
@@ -177,9 +178,9 @@ def main_text(page: str | None) -> str:
     best, stack = root, [root]
     while stack:
         n = stack.pop()
-        if n.score > best.score and n.name in BLOCK:
+        if n.score > best.score and n.name in HOLDERS:
             best = n
-        stack += [c for c in n.children if isinstance(c, Node) and not left_out(c) and c.name not in SCORED]
+        stack += [c for c in n.children if isinstance(c, Node) and not left_out(c)]
     out: list[str] = []
     if best.parent is None:
         _blocks(best, out)
@@ -194,7 +195,7 @@ def main_text(page: str | None) -> str:
 
 def _reads_on(node: Node, best: Node) -> bool:
     """Whether a sibling of the best container belongs to the article."""
-    if node.score >= max(10.0, 0.2 * best.score):
+    if best.score and node.score >= 0.2 * best.score:
         return True
     return node.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "figure", "ul", "ol", "table") and (best.name != "article" or node.name == "p")
 
