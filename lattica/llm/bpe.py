@@ -226,6 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         return {ids: pa.array([[int(x) for x in joined.split()] for _, joined, _ in encoder(path).encode(texts)], pa.list_(pa.int32()))}
 
     others = [c for c in docs.columns if c != ids]
-    held = docs.select(*others).withColumn("_text", docs[text])
+    taken = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so it clashes with none
+    held = docs.select(*others, docs[text].alias(taken))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids)
-    return in_batches(held, [*others, "_text"], run, f"{schema}, `{ids}` array<int>", passed=others)
+    return in_batches(held, held.columns, run, f"{schema}, `{ids}` array<int>", passed=others)

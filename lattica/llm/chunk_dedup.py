@@ -124,7 +124,8 @@ def repeat_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ru
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """docs with their texts freed of repeats (the first occurrence stays), and a column repeats with the spans found."""
     spans = materialised(repeat_spans(docs, id, text, min_run), "spans").select(F.col(id).alias("_id"), F.col("spans").alias("repeats"))
-    joined = docs.drop("repeats").join(spans, F.col(id) == F.col("_id"), "left").drop("_id")
+    plain = docs.drop("repeats")
+    joined = plain.join(spans, plain[id] == spans["_id"], "left").drop(spans["_id"])
     cuts = F.filter("repeats", lambda s: ~s["first"])
     size = F.char_length(text)
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["end"]))
