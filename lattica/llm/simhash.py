@@ -13,6 +13,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import in_batches, materialised
@@ -64,14 +65,16 @@ def _listed(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.select("*", F.posexplode(keys).alias("combo", "key"))
 
 
-def star_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
-    """(a, b): of the fingerprints that share a key, each with the key's leader, the one with the least hash, where they are near."""
-    masks = block_masks(blocks, blocks - max_distance)
-    first = F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("rep").alias("b"), F.col("fp").alias("fp_b"))).alias("l")
-    leaders = _listed(prints, masks).groupBy("combo", "key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    leaders = materialised(leaders.select("combo", "key", "l.b", "l.fp_b"), "leaders")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_distance
-    return _listed(prints, masks).join(leaders, ["combo", "key"]).filter((F.col("rep") != F.col("b")) & near).select(F.col("rep").alias("a"), "b")
+def neighbour_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(a, b): of the fingerprints that share a key, each with the one before it in order, where they are near.
+
+    However dense a group is, few distinct fingerprints share a key: what the key leaves open are some 37 bits,
+    and near ones differ in few of them.
+    """
+    listed = _listed(prints.select("rep", "fp"), block_masks(blocks, blocks - max_distance))
+    order = W.partitionBy("combo", "key").orderBy("fp")
+    beside = listed.select("rep", "fp", F.lag("rep").over(order).alias("b"), F.lag("fp").over(order).alias("fp_b"))
+    return beside.filter(F.col("b").isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_distance)).select(F.col("rep").alias("a"), "b")
 
 
 def cross_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
@@ -94,12 +97,12 @@ def _labelled(prints: DataFrame, links: DataFrame, by: str) -> DataFrame:
 def near_components(prints: DataFrame, max_distance: int = 4, blocks: int = 7) -> DataFrame:
     """(rep, fp, component) of prints, distinct fingerprints with an id: the least id that links of at most max_distance bits lead to.
 
-    Links to leaders, as many as rows at most for each key, come first; they join most of a dense group. What
-    is left are links between different components of these, of which only the pairs of components are kept.
-    No link is lost and no group gives all its pairs.
+    Links between neighbours in the order of fingerprints, fewer than rows for each key, come first; they join
+    most of a dense group. What is left are links between different components of these, of which only the
+    pairs of components are kept. No link is lost and no group gives all its pairs.
     """
-    stars = _labelled(prints, star_links(prints, max_distance, blocks), "rep")
-    return _labelled(stars, cross_links(stars, max_distance, blocks), "component")
+    joined = _labelled(prints, neighbour_links(prints, max_distance, blocks), "rep")
+    return _labelled(joined, cross_links(joined, max_distance, blocks), "component")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, max_distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -116,8 +119,10 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return prints.join(named, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, max_distance: int = 4, blocks: int = 7) -> DataFrame:
-    """docs with one document of each group: the one whose id names it. Only ids are shuffled until then."""
+def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, max_distance: int = 6, blocks: int = 9) -> DataFrame:
+    """docs with one document of each group: the one whose id names it, and all rows without an id. Up to 6 differing
+    bits (a similarity of 0.9 and more) take 84 keys of 21 bits for each fingerprint. Only ids are shuffled until then."""
     groups = near_groups(docs, id, text, words, max_distance, blocks)
-    drop = groups.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_drop")).filter("_drop is not null")
-    return docs.join(materialised(drop, "drop"), F.col(id) == F.col("_drop"), "left_anti")
+    drop = groups.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("gone")).filter("gone is not null")
+    drop = materialised(drop, "drop")
+    return docs.join(drop, docs[id] == drop["gone"], "left_anti")

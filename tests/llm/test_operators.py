@@ -66,25 +66,31 @@ def test_fingerprint_is_the_plain_one(text):
     assert simhash.fingerprint(text) & (2**64 - 1) == plain_simhash(text)
 
 
-def test_near_groups_against_brute_force(spark, odd, empty):
+@pytest.mark.parametrize(("distance", "blocks"), [(4, 7), (6, 9), (1, 3)])
+def test_near_components_against_brute_force(spark, distance, blocks):
     random.seed(3)
     base = [random.getrandbits(64) for _ in range(60)]
     prints = set(base)
     for b in base[:30]:
         for _ in range(12):
-            b ^= sum(1 << i for i in random.sample(range(64), random.randint(1, 4)))
+            b ^= sum(1 << i for i in random.sample(range(64), random.randint(1, 6)))
             prints.add(b)
-    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sorted(prints))]
-    got = {r.rep: r.component for r in simhash.near_components(spark.createDataFrame(rows, "rep bigint, fp bigint")).collect()}
-    label = {i: i for i, _ in rows}
-    for _ in range(40):
-        for i, p in rows:
-            for j, q in rows:
-                if (p ^ q & (2**64 - 1)).bit_count() <= 4 if p >= 0 and q >= 0 else ((p ^ q) & (2**64 - 1)).bit_count() <= 4:
+    rows = dict(enumerate(sorted(prints)))
+    table = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in rows.items()], "rep bigint, fp bigint")
+    got = {r.rep: r.component for r in simhash.near_components(table, distance, blocks).collect()}
+    label = {i: i for i in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i, p in rows.items():
+            for j, q in rows.items():
+                if label[i] != label[j] and (p ^ q).bit_count() <= distance:
                     label[i] = label[j] = min(label[i], label[j])
-        if all(label[i] == got[i] for i in label):
-            break
+                    changed = True
     assert label == got
+
+
+def test_near_groups(odd, empty):
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(odd).collect()}
     assert found[1] == found[2] == found[3] == ("0" * 16, 1) and found[4] == found[5] and found[4][1] == 4 and len(found) == 9
     assert simhash.near_groups(empty).count() == 0

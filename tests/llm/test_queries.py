@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import html_extract, pii, queries, simhash, toxicity
@@ -134,7 +135,7 @@ def test_pipeline(spark, documents):
     for i, t in left.items():
         last[t] = max(last.get(t, i), i)
     left = {i: t for t, i in last.items()}
-    label = linked({i: simhash.fingerprint(t, 5) & (2**64 - 1) for i, t in left.items()})
+    label = linked({i: simhash.fingerprint(t, 5) & (2**64 - 1) for i, t in left.items()}, 6)
     left = {i: pii.redacted(t) for i, t in left.items() if label[i] == i}
     docs = table(spark, SF_DIR, "documents")
     columns = docs.columns
@@ -146,3 +147,20 @@ def test_pipeline(spark, documents):
     for r in corpus_pipeline.run(spark, SF_DIR).collect():
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.n_tokens
     assert packed == {i: len(t.encode().split()) for i, t in left.items()}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    from tests.llm.test_operators import ODD, SCHEMA
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(c) for c in ("_doc", "_id", "gone", "score", "_text", "text_sha256", "spans", "shard_")})
+    left = {"toxicity": [0, 1, 2, 3, 4, 4, 5, 6, 7, 8], "exact_dedup": [0, 2, 3, 5, 6, 7, 8], "simhash": [0, 1, 4, 4, 6, 7, 8], "pii": [0, 1, 2, 3, 4, 4, 5, 6, 7, 8]}
+    got = stage(spark, docs, SF_DIR)
+    if name in left:
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert sorted(r.doc_id or 0 for r in rows) == left[name] and all(r.spans == "spans" and r._doc == "_doc" for r in rows)
+    else:
+        assert {r.doc_id or 0 for r in got.collect()} == set(range(9))
+    assert stage(spark, docs.limit(0), SF_DIR).count() == 0
