@@ -121,3 +121,9 @@ def dense_rank_of(v, key: Column) -> Column:
 def cume_dist_of(v, key: Column) -> Column:
     """CUME_DIST(v) WITHIN GROUP (ORDER BY key), with v counted in."""
     return (F.sum(F.when(key <= value(v), 1).otherwise(0)) + 1) / (F.count(F.lit(1)) + 1)
+
+
+def nulls_for_empty(df):
+    """df with null for the empty string in every text column: what a session with EMPTY_STRING_AS_NULL reads."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    return df.withColumns({c: empty_as_null(F.col(c)) for c in texts})

@@ -72,11 +72,11 @@ def numbered(df: DataFrame, *by: str, start: int = 1, step: int = 1, name: str =
 
 
 #: Session settings of the dialect and what they set.
-SETTINGS = {"TIME_ZONE": "spark.sql.session.timeZone", "NLS_CALENDAR": None, "PARALLEL": "spark.sql.shuffle.partitions", "ENABLE_NESTLOOP_JOIN": None, "EMPTY_STRING_AS_NULL": "lattica.emptyStringAsNull"}
+SETTINGS = {"TIME_ZONE": "spark.sql.session.timeZone", "NLS_CALENDAR": None, "PARALLEL": "spark.sql.shuffle.partitions", "ENABLE_NESTLOOP_JOIN": None, "EMPTY_STRING_AS_NULL": None}
 
 
 def alter_session(spark: SparkSession, name: str, value: object) -> bool:
-    """ALTER SESSION SET; False if the setting says nothing to Spark."""
+    """ALTER SESSION SET; False if the setting says nothing to Spark. For EMPTY_STRING_AS_NULL use nulls_for_empty() on the tables read."""
     key = SETTINGS[name.upper()]
     if key:
         spark.conf.set(key, str(value))

@@ -216,3 +216,8 @@ def test_moving_sum(spark):
     df = spark.createDataFrame(rows, "p string, k int, x double, s int")
     got = {(r.p, r.k): r.m for r in ordering.moving_sum(df, ["p"], "k", F.col("s"), F.lit(1), "x", "m").collect()}
     assert got == {(p, k): sum(x or 0 for q, j, x, _ in rows if q == p and k - s <= j <= k + 1) for p, k, _, s in rows}
+
+
+def test_nulls_for_empty(spark):
+    df = spark.createDataFrame([("", 1), ("x", 2)], "s string, n int")
+    assert [tuple(r) for r in compat.nulls_for_empty(df).collect()] == [(None, 1), ("x", 2)]
