@@ -62,8 +62,8 @@ class LanguageModel:
 
 def fit(docs: DataFrame, label: str | Column = "lang", id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> LanguageModel:
     """Rows with a null label or text are left out. The result is bounded: BINS counts for each language."""
-    sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang") if isinstance(label, str) else label.alias("lang")).filter("lang is not null and text is not null")
-    sample = bounded_sample(sample, "id", rows).select("lang", "text")
+    sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang") if isinstance(label, str) else label.alias("lang")).filter("lang is not null")
+    sample = bounded_sample(sample, "id", rows).filter("text is not null")  # the count needs no texts
 
     def count(batches):
         import pyarrow as pa
@@ -71,14 +71,14 @@ def fit(docs: DataFrame, label: str | Column = "lang", id: str = "doc_id", text:
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 bins, counts = ngram_counts(t)
                 sums.setdefault(lang, np.zeros(BINS, dtype=np.int64))[bins] += counts
                 seen[lang] = seen.get(lang, 0) + 1
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([seen[lang]]), pa.array([total.tobytes()])], names=["lang", "seen", "counts"])
 
-    parts = sample.repartition(8, "text").mapInArrow(count, "lang string, seen bigint, counts binary").collect()
+    parts = sample.repartition(8, "id").mapInArrow(count, "lang string, seen bigint, counts binary").collect()
     languages = sorted({r["lang"] for r in parts})
     counts = np.zeros((BINS, len(languages)))
     seen = np.zeros(len(languages))
