@@ -119,10 +119,94 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return prints.join(named, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, max_distance: int = 6, blocks: int = 9) -> DataFrame:
-    """docs with one document of each group: the one whose id names it, and all rows without an id. Up to 6 differing
-    bits (a similarity of 0.9 and more) take 84 keys of 21 bits for each fingerprint. Only ids are shuffled until then."""
-    groups = near_groups(docs, id, text, words, max_distance, blocks)
-    drop = groups.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("gone")).filter("gone is not null")
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of word shingles, sorted; a text without words has one of its own."""
+    tokens = _tokens(text)
+    n = max(1, min(words, len(tokens)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + n]), SEED) for i in range(max(1, len(tokens) - n + 1))), dtype="<u8"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+#: Fixed odd factors and offsets of the independent orders of shingles, ROWS for each of BANDS keys.
+BANDS, ROWS = 25, 5
+_RANDOM = np.random.default_rng(SEED)
+FACTORS, OFFSETS = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the least shingle in each of ROWS orders. Sets of Jaccard similarity s share one with probability 1 - (1 - s**ROWS)**BANDS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for part in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
+        least = np.minimum(least, _mixed(hashes[None, part : part + (1 << 12)] * FACTORS + OFFSETS).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys.view(np.int64)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have that Jaccard similarity, exactly."""
+    left, right = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"_{s}")) for s in ("a", "b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return materialised(pairs.join(left, "a").join(right, "b").filter(common / (F.size("_a") + F.size("_b") - common) >= similarity).select("a", "b"), "alike")
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected_components(links).withColumnRenamed("node", "rep")
+    return materialised(nodes.join(found, "rep", "left").select("rep", "n", "own", F.coalesce("component", "rep").alias("component")), "alike-components")
+
+
+def similar_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component): ids of documents that pairs of at least that Jaccard similarity of word shingles connect.
+
+    Candidates share a band key. Documents of which more than 1 - similarity of the shingles occur in no other
+    candidate have no partner and go first. Each key's member with the fewest such shingles is compared with
+    the others, and then only pairs across the components so found.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+
+    def marks(texts):
+        keys = [band_keys(shingles(t, words)) for t in texts]
+        return {"digest": [xxhash.xxh64_intdigest(b" ".join(_tokens(t)), SEED) - (1 << 63) for t in texts], "keys": [k.tolist() for k in keys]}
+
+    named = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("rep"), F.col(text).alias("_text"))
+    rows = materialised(in_batches(named, ["rep", "_text"], marks, f"rep {kind}, digest bigint, keys array<bigint>", passed=["rep"]), "bands")
+    first = materialised(rows.groupBy("digest").agg(F.min("rep").alias("node")), "first")
+    same = rows.select("rep", "digest").join(first, "digest").filter("rep != node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    listed = rows.join(first.select(F.col("node").alias("rep"), "digest"), ["rep", "digest"], "left_semi").select("rep", F.explode("keys").alias("key"))
+    listed = materialised(listed, "listed")
+    often = listed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
+    shared = materialised(listed.join(often, "key"), "shared")
+    found = named.join(materialised(shared.select("rep").distinct(), "suspects"), "rep", "left_semi")
+    sets = materialised(in_batches(found, ["rep", "_text"], lambda texts: {"hashes": [shingles(t, words).view(np.int64).tolist() for t in texts]}, f"rep {kind}, hashes array<bigint>", passed=["rep"]), "shingles")
+    single = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    nodes = sets.groupBy("rep").agg(F.min(F.size("hashes")).alias("n")).join(single, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    nodes = materialised(nodes.filter((F.col("n") - F.col("own")) / F.col("n") >= similarity), "nodes")
+    members = materialised(shared.join(nodes, "rep"), "members")
+    centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep").alias("a"))).alias("c")).select("key", "c.a")
+    links = _alike(members.select("key", F.col("rep").alias("b")).join(centres, "key").filter("a != b").select("a", "b").distinct(), sets, similarity)
+    nodes = _components(nodes, links)
+    members = materialised(members.select("rep", "key").join(nodes, "rep"), "members")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    members = materialised(members.join(mixed, "key"), "mixed")
+    left, right = (members.select("key", F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}"), F.col("component").alias(f"c_{s}")) for s in ("a", "b"))
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))  # an upper bound of what is common
+    across = left.join(right, "key").filter((F.col("c_a") < F.col("c_b")) & (most / (F.col("n_a") + F.col("n_b") - most) >= similarity)).select("a", "b").distinct()
+    links = links.unionByName(_alike(across, sets, similarity)).unionByName(same)
+    return connected_components(links)
+
+
+def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group that pairs of at least that Jaccard similarity of word shingles make: the one
+    with the least id, and all rows without an id."""
+    drop = similar_links(docs, id, text, words, similarity).filter("node != component").select(F.col("node").alias("gone_"))
     drop = materialised(drop, "drop")
-    return docs.join(drop, docs[id] == drop["gone"], "left_anti")
+    return docs.join(drop, docs[id] == drop["gone_"], "left_anti")

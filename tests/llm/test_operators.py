@@ -304,3 +304,33 @@ def test_fingerprint_report_against_plain(spark):
         if edited == text:
             assert got[i].near_edited == 1 and got[i].fingerprint == got[i].edited_fingerprint
     assert len({got[i].fingerprint for i, t in docs if t == ""}) <= 1
+
+
+def plain_shingles(text, n=5):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_drop_near_by_jaccard(spark):
+    """Every dropped document has a chain of pairs of 0.8 or more in Jaccard similarity to the one that stays, and no such pair is lost."""
+    random.seed(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{random.randrange(5000)}" for _ in range(120)]
+        for edits in (0, 1, 1, 2, 3, 4, 6):
+            words = list(base)
+            for i in random.sample(range(120), edits):
+                words[i] = f"x{random.randrange(5000)}"
+            texts.append(" ".join(words))
+    sets = [plain_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        moved = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] < label[i] and len(a & b) / len(a | b) >= 0.8:
+                    label[i], moved = label[j], True
+        if not moved:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {i for i, c in enumerate(label) if i == c}
