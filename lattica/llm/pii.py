@@ -23,7 +23,14 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # as [0-9]+(\.[0-9]+){3}, in linear time
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+GROUP = re.compile(r"\x20?[A-Z0-9]{1,4}")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Length of an account number by country, as registered.
+IBAN_LENGTH = {c: int(n) for part in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,DZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split() for n, cs in [part.split(":")] for c in cs.split(",")}
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 WINDOW = 40
@@ -90,24 +97,47 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    """(start, end) of account numbers. Text that follows in capitals or digits is cut off: at the country's length, or for a
+    country without one at the last group end that passes mod 97. A start that fails takes nothing with it."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        ends, at = [], m.end()
+        for _ in range(8):
+            if not (g := GROUP.match(text, at)):
+                break
+            at = g.end()
+            if not ALNUM.match(text, at):
+                ends.append(at)
+        length = IBAN_LENGTH.get(m[0][:2])
+        exact = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == length]
+        for end in exact + (ends[-1:] if length else ends[::-1]):
+            if _iban_ok(text[m.start() : end]):
+                yield m.start(), end
+                done = end
+                break
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All confirmed spans, by start and then by kind as listed; offsets in code points, end exclusive.
 
-    Matches of one kind don't overlap; spans of different kinds may. A match that fails its validator is
-    dropped and not tried in part. Null and empty texts have none.
+    Matches of one kind don't overlap; spans of different kinds may. A match of a base kind that fails its
+    validator is dropped and not tried in part. Null and empty texts have none.
     """
     if not text:
         return []
-    found = [(m, "email") for m in _emails(text)]
-    found += [(m, "ip") for m in IP.finditer(text) if _ip_ok(m[0])]
-    found += [(m, "card") for m in CARD.finditer(text) if _card_ok(m[0])]
+    found = [(*m.span(), "email") for m in _emails(text)]
+    found += [(*m.span(), "ip") for m in IP.finditer(text) if _ip_ok(m[0])]
+    found += [(*m.span(), "card") for m in CARD.finditer(text) if _card_ok(m[0])]
     if "+" in text:
-        found += [(m, "phone") for m in PHONE.finditer(text) if _phone_ok(m[0])]
-    found += [(m, "iban") for m in IBAN.finditer(text) if _iban_ok(m[0])]
+        found += [(*m.span(), "phone") for m in PHONE.finditer(text) if _phone_ok(m[0])]
+    found += [(start, end, "iban") for start, end in _ibans(text)]
     spans = []
-    for m, kind in found:
-        near = re.findall(r"[a-z]+", f"{text[max(0, m.start() - WINDOW) : m.start()]} {text[m.end() : m.end() + WINDOW]}".lower())
-        spans.append(Span(m.start(), m.end(), kind, min(1.0, PRIOR[kind] + RAISE * sum(w in near for w in CONTEXT[kind]))))
+    for start, end, kind in found:
+        near = re.findall(r"[a-z]+", f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower())
+        spans.append(Span(start, end, kind, min(1.0, PRIOR[kind] + RAISE * sum(w in near for w in CONTEXT[kind]))))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

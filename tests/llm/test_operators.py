@@ -334,3 +334,11 @@ def test_drop_near_by_jaccard(spark):
             break
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {i for i, c in enumerate(label) if i == c}
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"), ("DE89370400440532013000 2024-05-01", "DE89370400440532013000"), ("GB82WEST12345698765432 EUR 50", "GB82WEST12345698765432"),
+    ("GB82 WEST 1234 5698 7654 32 IN 3 days", "GB82 WEST 1234 5698 7654 32"), ("REF AB12 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"), ("DE89 3704 0044 0532 0130 01 BIC X", None),
+])
+def test_iban_before_capitals_or_digits(text, found):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == ([found] if found else [])
