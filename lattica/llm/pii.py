@@ -67,7 +67,7 @@ def mod97(code: str) -> bool:
 
 
 def _ip_ok(found: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
 
 
 def _card_ok(found: str) -> bool:

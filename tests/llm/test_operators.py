@@ -342,3 +342,8 @@ def test_drop_near_by_jaccard(spark):
 ])
 def test_iban_before_capitals_or_digits(text, found):
     assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"] == ([found] if found else [])
+
+
+def test_ip_part_of_many_zeros():
+    text = "1.1.1." + "0" * 5000
+    assert [(s.start, s.end) for s in pii.find_spans(text) if s.kind == "ip"] == [(0, len(text))]
