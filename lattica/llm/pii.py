@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, validators confirm them, words nearby adjust the score.
 
 Kinds: email, ip (four decimal parts), card (Luhn), phone (international form) and iban (mod 97). A span's
-score starts from how strong its validator is and rises with each context word of its kind within
-``WINDOW`` characters; a span under ``threshold`` is not redacted. Base spans (the first four kinds) always
+score starts from how strong its validator is, rises with each context word of its kind within ``WINDOW``
+characters and falls with each contrary word in those before it; a span under ``threshold`` is not redacted. Base spans (the first four kinds) always
 come out of find_spans(); the threshold only decides about redaction.
 """
 
@@ -44,6 +44,9 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "transfer", "konto"),
 }
 RAISE = 0.1
+#: Words before a span that speak against its kind, and what each takes off.
+CONTRARY = {"ip": ("version", "release", "build", "section", "chapter"), "phone": ("isbn", "serial", "order"), "card": ("isbn", "ean", "serial", "order")}
+LOWER = 0.2
 
 
 class Span(NamedTuple):
@@ -136,8 +139,9 @@ def find_spans(text: str | None) -> list[Span]:
     found += [(start, end, "iban") for start, end in _ibans(text)]
     spans = []
     for start, end, kind in found:
-        near = re.findall(r"[a-z]+", f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower())
-        spans.append(Span(start, end, kind, min(1.0, PRIOR[kind] + RAISE * sum(w in near for w in CONTEXT[kind]))))
+        before, after = (re.findall(r"[a-z]+", t.lower()) for t in (text[max(0, start - WINDOW) : start], text[end : end + WINDOW]))
+        score = PRIOR[kind] + RAISE * sum(w in before or w in after for w in CONTEXT[kind]) - LOWER * sum(w in before for w in CONTRARY.get(kind, ()))
+        spans.append(Span(start, end, kind, min(1.0, max(0.0, score))))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

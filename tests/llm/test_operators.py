@@ -347,3 +347,9 @@ def test_iban_before_capitals_or_digits(text, found):
 def test_ip_part_of_many_zeros():
     text = "1.1.1." + "0" * 5000
     assert [(s.start, s.end) for s in pii.find_spans(text) if s.kind == "ip"] == [(0, len(text))]
+
+
+def test_context_decides_about_redaction():
+    assert pii.redacted("we use version 1.2.3.4 of it") == "we use version 1.2.3.4 of it"
+    assert pii.redacted("we use 1.2.3.4 of it") == "we use [IP] of it"
+    assert pii.redacted("the server with version 4, host 1.2.3.4") == "the server with version 4, host [IP]"
