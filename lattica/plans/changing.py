@@ -167,3 +167,39 @@ def session_window(spark, sf_dir):
 @query("""SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, count(*) AS n, max(value) AS top FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY s""")
 def sliding_window(spark, sf_dir):
     return windows.sliding(load(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", n=F.count(F.lit(1)), top=F.max("value"))
+
+
+@query("SELECT n_nationkey, u.range AS level FROM nation, range(1, 5) u WHERE u.range <= n_regionkey", level="INTEGER")
+def connect_by_generator_whole(spark, sf_dir):
+    return hierarchy.generate(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("n_regionkey").cast("int")).select("n_nationkey", "level")
+
+
+def _whole_stock(spark, sf_dir):
+    """A target of customers who are not in debt, and a source of those with an order, with other balances."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    buyers = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return c.filter("c_acctbal >= 0"), c.join(buyers, "c_custkey", "left_semi").withColumn("c_acctbal", F.col("c_acctbal") + 1000)
+
+
+STOCK = "s AS (SELECT *, c_custkey IN (SELECT o_custkey FROM orders) AS fresh, c_acctbal >= 0 AS held FROM customer)"
+
+
+@query(f"""WITH {STOCK} SELECT c_custkey, c_mktsegment, round(CASE WHEN fresh AND c_mktsegment <> 'BUILDING' THEN c_acctbal + c_acctbal + 1000 ELSE c_acctbal END, 2) AS c_acctbal FROM s WHERE held
+    UNION ALL SELECT c_custkey, 'NEW', round(c_acctbal + 1000, 2) FROM s WHERE fresh AND NOT held AND c_acctbal + 1000 > 500""")
+def merge_into_whole(spark, sf_dir):
+    target, source = _whole_stock(spark, sf_dir)
+    out = dml.merge(
+        target, source, ["c_custkey"], update={"c_acctbal": F.col("t.c_acctbal") + F.col("s.c_acctbal")}, update_where=F.col("t.c_mktsegment") != "BUILDING",
+        insert={"c_custkey": F.col("s.c_custkey"), "c_mktsegment": F.lit("NEW"), "c_acctbal": F.col("s.c_acctbal")}, insert_where=F.col("s.c_acctbal") > 500,
+    )
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"WITH {STOCK} SELECT c_custkey, c_mktsegment, round(CASE WHEN fresh THEN c_acctbal + 1000 ELSE c_acctbal END, 2) AS c_acctbal FROM s WHERE held OR fresh")
+def replace_into_whole(spark, sf_dir):
+    return dml.upsert(*_whole_stock(spark, sf_dir), ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"WITH {STOCK} SELECT c_custkey, CASE WHEN held AND fresh THEN 'seen' ELSE c_mktsegment END AS c_mktsegment, round(CASE WHEN held THEN c_acctbal ELSE c_acctbal + 1000 END, 2) AS c_acctbal FROM s WHERE held OR fresh")
+def insert_on_duplicate_key_whole(spark, sf_dir):
+    return dml.upsert(*_whole_stock(spark, sf_dir), ["c_custkey"], update={"c_mktsegment": F.lit("seen")}).withColumn("c_acctbal", F.round("c_acctbal", 2))

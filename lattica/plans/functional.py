@@ -135,3 +135,22 @@ def json_table_rows(spark, sf_dir):
     doc = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct((k * 10 + i).alias("v"))).alias("items")))
     rows = json_table(load(spark, sf_dir, "orders").filter("o_orderkey < 200").select("o_orderkey", doc.alias("doc")), "doc", "$.items[*]", {"val": ("bigint", "$.v")}, ordinality="pos")
     return rows.select("o_orderkey", "pos", "val")
+
+
+@query("""SELECT o_orderkey, CASE WHEN d = last_day(d) THEN last_day(CAST(d + INTERVAL 1 MONTH AS DATE)) ELSE CAST(d + INTERVAL 1 MONTH AS DATE) END::TIMESTAMP + (o_orderdate - d::TIMESTAMP) AS next_month, last_day(d)::TIMESTAMP + (o_orderdate - d::TIMESTAMP) AS month_end,
+    year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS dd, hour(o_orderdate) AS h, date_trunc('month', o_orderdate)::TIMESTAMP AS tm, date_trunc('year', o_orderdate)::TIMESTAMP AS ty, CASE WHEN day(d) >= 16 THEN date_trunc('month', o_orderdate + INTERVAL 1 MONTH) ELSE date_trunc('month', o_orderdate) END::TIMESTAMP AS rm
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""", y="INTEGER", q="INTEGER", m="INTEGER", dd="INTEGER", h="INTEGER")
+def date_functions_whole(spark, sf_dir):
+    d = F.col("o_orderdate").cast("timestamp")
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", dates.add_months(d, 1).alias("next_month"), dates.last_day(d).alias("month_end"), F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.dayofmonth(d).alias("dd"), F.hour(d).alias("h"),
+        dates.trunc(d, "MM").alias("tm"), dates.trunc(d, "YYYY").alias("ty"), dates.round_date(d, "MONTH").alias("rm"),
+    )
+
+
+@query("""SELECT o_orderkey, u.i AS pos, o_orderkey * 10 + u.i AS val FROM orders, (SELECT range AS i FROM range(1, 4)) u""", pos="INTEGER")
+def json_table_rows_whole(spark, sf_dir):
+    k = F.col("o_orderkey")
+    doc = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct((k * 10 + i).alias("v"))).alias("items")))
+    rows = json_table(load(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")), "doc", "$.items[*]", {"val": ("bigint", "$.v")}, ordinality="pos")
+    return rows.select("o_orderkey", "pos", "val")

@@ -106,3 +106,17 @@ def comma_join_or(spark, sf_dir):
 def self_join_inequality(spark, sf_dir):
     a, b = load(spark, sf_dir, "nation").alias("a"), load(spark, sf_dir, "nation").alias("b")
     return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+
+
+@query("""SELECT o_orderkey, round(months, 8) AS months, CAST(d + ((8 - dayofweek(d)) % 7 + CASE WHEN dayofweek(d) = 1 THEN 7 ELSE 0 END)::INT AS TIMESTAMP) + (o_orderdate - d::TIMESTAMP) AS next_monday, date_trunc('quarter', o_orderdate)::TIMESTAMP AS tq
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 + CASE WHEN day(o_orderdate) = 1 THEN 0 ELSE (day(o_orderdate) - 1 + epoch(o_orderdate - CAST(o_orderdate AS DATE)::TIMESTAMP) / 86400.0) / 31.0 END AS months FROM orders)""")
+def months_and_weekdays_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("timestamp")
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.months_between(d, F.lit("1990-01-01").cast("timestamp")), 8).alias("months"), dates.next_day(d, "MONDAY").alias("next_monday"), dates.trunc(d, "Q").alias("tq"))
+
+
+@query("""SELECT event_id, ts + INTERVAL 90 MINUTE AS a, ts + INTERVAL 14 MONTH AS b, ts - INTERVAL 3 DAY AS c FROM events""")
+def intervals_whole(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    e = load(spark, sf_dir, "events")
+    return e.select("event_id", (ts + dates.numtodsinterval(1.5, "HOUR")).alias("a"), (ts + dates.numtoyminterval(F.lit(14), "MONTH")).alias("b"), (ts - dates.to_dsinterval(F.lit("3 00:00:00"))).alias("c"))

@@ -353,3 +353,27 @@ def bind_parameters_view(spark, sf_dir):
 def array_access_unnest(spark, sf_dir):
     e = F.col("embedding")
     return load(spark, sf_dir, "embeddings").filter("vec_id < 200").select("vec_id", F.element_at(e, 1).alias("first_item"), F.slice(e, 2, 3).alias("part"), F.size(e).alias("n"), F.explode(F.slice(e, 1, 2)).alias("each"))
+
+
+@query("""SELECT o_orderkey, (o_orderkey & 12) | 1 AS bits, xor(o_orderkey, 5) AS x, o_orderkey << 2 AS up, o_orderkey >> 1 AS down, -o_custkey AS neg, o_orderkey % 7 AS m, o_orderkey / 4.0 AS quarter FROM orders""")
+def arithmetic_bits_whole(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", k.bitwiseAND(F.lit(12)).bitwiseOR(F.lit(1)).alias("bits"), k.bitwiseXOR(F.lit(5)).alias("x"), F.shiftleft(k, 2).alias("up"), F.shiftright(k, 1).alias("down"), (-F.col("o_custkey")).alias("neg"), compat.mod(k, F.lit(7)).alias("m"), compat.divide(k, F.lit(4)).alias("quarter"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s ASC NULLS LAST, p_partkey")
+def order_nulls_whole(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_size")).alias("s"))
+    return ordering.order_by(p, "s", "p_partkey")
+
+
+@query("((SELECT n_nationkey::BIGINT AS k FROM nation UNION SELECT c_custkey FROM customer) INTERSECT SELECT o_custkey FROM orders) EXCEPT SELECT s_suppkey FROM supplier")
+def set_precedence_and_types_whole(spark, sf_dir):
+    n, c = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), load(spark, sf_dir, "customer").select("c_custkey")
+    return setops.combine(n, ("union", c), ("intersect", load(spark, sf_dir, "orders").select("o_custkey")), ("minus", load(spark, sf_dir, "supplier").select("s_suppkey")))
+
+
+@query("SELECT vec_id, embedding[1] AS first_item, list_slice(embedding, 2, 4) AS part, len(embedding) AS n, unnest(embedding) AS each FROM embeddings", n="INTEGER")
+def array_access_unnest_whole(spark, sf_dir):
+    e = F.col("embedding")
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.element_at(e, 1).alias("first_item"), F.slice(e, 2, 3).alias("part"), F.size(e).alias("n"), F.explode(e).alias("each"))
