@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,14 @@ class CycleError(ValueError):
     """A row is its own ancestor and NOCYCLE wasn't asked for."""
 
 
-def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of: str | None = None, separator: str = "/", order_siblings: Sequence[str] = (), nocycle: bool = False, levels: int = 1000) -> DataFrame:
+def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of: str | None = None, separator: str = "/", order_siblings: Sequence[str] = (), nocycle: bool = False, levels: int | None = None) -> DataFrame:
     """df's rows in the tree with level, root, connect_by_isleaf, connect_by_iscycle, path and sibling_path.
 
     One equi-join a level, of the last level's rows with the table; each level is written once to the shared
     folder, so plans don't grow with depth, and the first empty one ends it. A row whose id is
     among its ancestors' closes a cycle: with nocycle it is left out and the ancestor that leads to it is
     marked, otherwise it raises. sibling_path orders the rows depth first, siblings by order_siblings or id:
-    sort by it. A WHERE belongs behind this call: it takes out rows, not what hangs below them.
+    sort by it. With levels, a deeper tree raises. A WHERE belongs behind this call: it takes out rows, not what hangs below them.
     """
     named = F.col(path_of or id).cast("string")
     rank = F.struct(*(F.col(c) for c in (*order_siblings, id)))
@@ -33,7 +34,7 @@ def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of:
     children = base.select(*(F.col(c).alias(f"_c_{c}") for c in df.columns), F.col("_name").alias("_cn"), F.col("_rank").alias("_cr"))
     front = materialised(front, "level")
     found, cyclic = front, None
-    for _ in range(1, levels):
+    for depth in count(1):
         joined = front.join(children, F.col(id) == F.col(f"_c_{parent}"))
         again = F.array_contains("_ids", F.col(f"_c_{id}"))
         closing = joined.filter(again).select("_ids")
@@ -48,6 +49,8 @@ def connect_by(df: DataFrame, id: str, parent: str, start_with: Column, path_of:
         front = materialised(front, "level")
         if not front.limit(1).count():
             break
+        if depth == levels:
+            raise ValueError(f"more than {levels} levels")
         found = found.unionAll(front)
     inner = found.select(F.slice("_ids", F.lit(1), F.size("_ids") - 1).alias("_p")).filter(F.size("_p") > 0).distinct().withColumn("_inner", F.lit(1))
     out = found.join(inner, F.col("_ids") == F.col("_p"), "left")

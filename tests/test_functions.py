@@ -1,5 +1,6 @@
 """The dialect's value rules, one by one."""
 
+import inspect
 from datetime import datetime
 from decimal import Decimal
 
@@ -184,6 +185,14 @@ def test_cycle(spark):
     assert got == {1: (1, 0), 2: (2, 0), 3: (3, 1)}
 
 
+def test_levels(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 6)], "id int, parent int")
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        hierarchy.connect_by(chain, "id", "parent", F.col("id") == 1, levels=3)
+    assert hierarchy.connect_by(chain, "id", "parent", F.col("id") == 1, levels=5).count() == 5
+    assert inspect.signature(hierarchy.connect_by).parameters["levels"].default is None
+
+
 def test_siblings(spark):
     tree = spark.createDataFrame([(1, None, "top"), (2, 1, "b"), (3, 1, "a"), (4, 2, "c")], "id int, parent int, name string")
     got = hierarchy.depth_first(hierarchy.connect_by(tree, "id", "parent", F.col("parent").isNull(), path_of="name", order_siblings=["name"])).collect()
