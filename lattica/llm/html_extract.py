@@ -2,7 +2,8 @@
 
 Paragraphs pass points for length and commas up to their ancestors (whole to the parent, half to the
 grandparent, less beyond); a container's points are discounted by its link density. The best container is
-kept with those siblings that score well or read like text, and all that is furniture within is left out.
+kept, or the article that it is a part of, with those siblings that score well, read like text or have few
+links, and all that is furniture within is left out.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "hint", "score", "hidden")
+    __slots__ = ("name", "parent", "children", "hint", "score", "hidden", "length", "linked")
 
     def __init__(self, name: str, parent: Node | None, hint: str = "", hidden: bool = False):
         self.name, self.parent, self.hint, self.hidden = name, parent, hint, hidden
         self.children: list[Node | str] = []
-        self.score = 0.0
+        self.score = self.length = self.linked = 0.0
 
 
 def parse(html: str) -> Node:
@@ -120,10 +121,12 @@ def _measure(node: Node) -> tuple[float, float]:
                 linked += sizes[id(c)][1]
         if n.name == "a":
             linked = length
-        sizes[id(n)] = (length, linked)
+        sizes[id(n)] = n.length, n.linked = length, linked
         loose = n.name not in SCORED and sum(len(c.strip()) for c in own) >= 25
-        if (n.name in SCORED and length >= 1 and n.name != "li" or loose) and linked <= 0.5 * length:
+        if (n.name in SCORED and length >= 1 or loose) and linked <= 0.5 * length:
             points, up = (1 + commas + min(length / 100, 3)) * (1 if length >= 25 else 0.2), n if loose else n.parent
+            if n.name == "li" and up is not None:
+                up = up.parent  # to what holds the list
             for share in (1, 0.5, 0.25, 0.125):
                 if up is None:
                     break
@@ -181,6 +184,8 @@ def main_text(page: str | None) -> str:
         if n.score > best.score and n.name in HOLDERS:
             best = n
         stack += [c for c in n.children if isinstance(c, Node) and not left_out(c)]
+    while best.name not in ("article", "main") and best.parent is not None and best.parent.name in ("article", "main"):
+        best = best.parent
     out: list[str] = []
     if best.parent is None:
         _blocks(best, out)
@@ -188,7 +193,10 @@ def main_text(page: str | None) -> str:
         for c in best.parent.children:
             if c is best:
                 _blocks(best, out)
-            elif isinstance(c, Node) and not left_out(c) and _reads_on(c, best):
+            elif isinstance(c, str):
+                if best.name != "article" and c.strip():
+                    out.append(" ".join(c.split()))
+            elif not left_out(c) and _reads_on(c, best):
                 _blocks(c, out)
     return " ".join(out)
 
@@ -197,7 +205,9 @@ def _reads_on(node: Node, best: Node) -> bool:
     """Whether a sibling of the best container belongs to the article."""
     if best.score and node.score >= 0.2 * best.score:
         return True
-    return node.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "figure", "ul", "ol", "table") and (best.name != "article" or node.name == "p")
+    if best.name not in ("article", "main") and node.length and node.linked <= 0.5 * node.length:
+        return True
+    return node.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "ul", "ol", "dl", "table") and (best.name != "article" or node.name == "p")
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -353,3 +353,12 @@ def test_context_decides_about_redaction():
     assert pii.redacted("we use version 1.2.3.4 of it") == "we use version 1.2.3.4 of it"
     assert pii.redacted("we use 1.2.3.4 of it") == "we use [IP] of it"
     assert pii.redacted("the server with version 4, host 1.2.3.4") == "the server with version 4, host [IP]"
+
+
+@pytest.mark.parametrize("top", ["article", "div"])
+def test_html_keeps_short_parts(top):
+    long = "".join(f"<p>Paragraph {i} of the long part, with a comma and some words more.</p>" for i in range(10))
+    short = "".join(f"<section><p>Short part {i}, with a comma and some words more.</p></section>" for i in range(3))
+    page = f"<body><nav><a href=x>menu</a></nav><{top}><section>{long}</section>{short}<section><ul><li>an item of the list</li></ul></section><h4>low heading</h4><dl><dt>term</dt><dd>meaning</dd></dl><div>few words</div>loose text<div><a href=y>only links</a></div></{top}></body>"
+    text = html_extract.main_text(page)
+    assert all(x in text for x in ("Paragraph 9", "Short part 0", "Short part 2", "an item", "low heading", "term", "meaning", "few words", "loose text")) and "menu" not in text
