@@ -20,18 +20,61 @@ from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from lattica.llm.common import in_batches
 
-#: Runs and words whose encodings a Python worker keeps; beyond, it starts anew.
-KEPT_WORDS = 600_000
+#: What a Python worker keeps of runs, words and their encodings, in characters; beyond, it starts anew. Longer runs than LONGEST aren't kept.
+KEPT_CHARS = 20_000_000
+LONGEST = 64
 #: Characters whose words are gathered before they are encoded together.
-GATHER = 4_000_000
+GATHER = 1_000_000
 CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split(), not to the vocabulary
-SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+#: Letters, numbers and lower-case forms (first, last, distance to the lower-case one) of Unicode 16 and 17 that
+#: the tokenizers library knows and Unicode 15.1, which unicodedata has, doesn't.
+NEWER_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+NEWER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEWER_LOWER = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+
+
+def _listed(ranges: str) -> set[int]:
+    return {c for r in ranges.split() for first, _, last in [r.partition("-")] for c in range(int(first, 16), int(last or first, 16) + 1)}
+
+
+def _char_class(points: set[int]) -> str:
+    """The inside of a character class that holds these code points."""
+    out, start = [], None
+    for c in sorted(points):
+        if c - 1 not in points:
+            start = c
+        if c + 1 not in points:
+            out.append(f"\\U{start:08x}-\\U{c:08x}")
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def pieces_pattern() -> re.Pattern:
+    """Contractions, runs of letters, single numbers and runs of other characters, of text without white space. Classes are those of the library's Unicode version."""
+    category = unicodedata.category
+    letters, numbers = _listed(NEWER_LETTERS), _listed(NEWER_NUMBERS)
+    for c in range(0x110000):
+        kind = category(chr(c))[0]
+        if kind == "L":
+            letters.add(c)
+        elif kind == "N":
+            numbers.add(c)
+    letter, number = _char_class(letters), _char_class(numbers)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+")
+
+
+LOWERED = {c: c + d for first, last, d in NEWER_LOWER for c in range(first, last + 1)} | {0x3A3: 0x3C3}  # a final sigma gets no form of its own
+FIRST_LOWER = re.compile("[" + "".join(map(chr, LOWERED)) + "]")
+
+
+def lowered(text: str) -> str:
+    return (text.translate(LOWERED) if FIRST_LOWER.search(text) else text).lower()
 
 
 def byte_symbols() -> list[str]:
@@ -41,6 +84,18 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: The normalisation and the cutting that are implemented here, as a vocabulary file names them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _require(spec: dict) -> None:
+    """Refuse a file that asks for other steps than those implemented."""
+    split, *_ = spec["pre_tokenizer"].get("pretokenizers") or [{}]
+    if spec["model"]["type"] != "BPE" or spec["normalizer"].get("normalizers") != NORMALIZERS or split.get("pattern", {}).get("Regex") != CUTTING or spec.get("decoder"):
+        raise ValueError("the vocabulary file asks for another normalisation, cutting or decoding than NFC, lower case and word pieces")
+
+
 class PairVocabulary:
     """Ids and merges of one vocabulary file."""
 
@@ -48,6 +103,7 @@ class PairVocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        _require(spec)
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -117,8 +173,8 @@ class PairVocabulary:
 
     def pieces(self, chunk: str) -> list[str]:
         """The words that a run without white space falls into, normalised."""
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [chunk] if chunk.isalpha() else PIECES.findall(chunk)
+        chunk = lowered(unicodedata.normalize("NFC", chunk))
+        return [chunk] if chunk.isalpha() else pieces_pattern().findall(chunk)
 
 
 @lru_cache(maxsize=4)
@@ -131,34 +187,45 @@ def chunks(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts batch by batch; keeps what runs without white space, and the words in them, encode to."""
+    """Encodes texts batch by batch; keeps what short runs without white space, and the words in them, encode to, up to a bounded number of characters."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.words: dict[str, tuple[str, str]] = {}
         self.forget()
 
     def forget(self) -> None:
         special = self.vocab.special
+        self.words: dict[str, tuple[str, str]] = {}
         self.ids = {t: str(i) for t, i in special.items()}  # a run never holds a special token: texts are cut there first
         self.tokens = {t: t for t in special}
+        self.held = 0
+        self.passing: list[str] = []
 
     def learn(self, found: set[str]) -> None:
-        if len(self.ids) > KEPT_WORDS:
+        """Encode what isn't known of the runs. Long ones are known until the next call only."""
+        for c in self.passing:
+            del self.ids[c], self.tokens[c]
+        self.passing = []
+        if self.held > KEPT_CHARS:
             self.forget()
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
         new = found - self.ids.keys()
         split = {c: self.vocab.pieces(c) for c in new}
-        words = list({w for ws in split.values() for w in ws} - self.words.keys())
+        missing = list({w for ws in split.values() for w in ws} - self.words.keys())
         names = self.vocab.tokens
-        for w, ids in zip(words, self.vocab.encode_words([w.encode() for w in words]), strict=True):
-            self.words[w] = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        words = {}
+        for w, ids in zip(missing, self.vocab.encode_words([w.encode() for w in missing]), strict=True):
+            words[w] = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+            if len(w) <= LONGEST:
+                self.words[w] = words[w]
+                self.held += len(w) + len(words[w][0]) + len(words[w][1])
         for c, ws in split.items():
-            self.ids[c] = " ".join([self.words[w][0] for w in ws])
-            self.tokens[c] = " ".join([self.words[w][1] for w in ws])
-        if missing := found - self.ids.keys():
-            self.learn(missing)  # what was forgotten at the start
+            parts = [words.get(w) or self.words[w] for w in ws]
+            self.ids[c] = " ".join([p[0] for p in parts])
+            self.tokens[c] = " ".join([p[1] for p in parts])
+            if len(c) > LONGEST:
+                self.passing.append(c)
+            else:
+                self.held += len(c) + len(self.ids[c]) + len(self.tokens[c])
 
     def runs(self, text: str | None) -> list[str]:
         """The runs of a text without white space, and its special tokens, which are looked for in the text as it is."""
