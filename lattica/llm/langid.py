@@ -1,15 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting is a Spark aggregation over a bounded sample of labelled rows; the matrix of log-probabilities
-(``BINS`` rows, one column per language) is broadcast and texts are scored batch by batch in numpy from
-their sparse n-gram counts.
+(``BINS`` rows, one column per language) is broadcast. The texts of an Arrow batch are scored together: their
+n-grams stand one after another as (text, bin) entries, whose matrix rows are added up text by text in numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +21,62 @@ ORDERS = (1, 2, 3)
 BINS = 1 << 15
 #: About how many labelled rows the model is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 20_000
-#: A text's n-grams count as at most so many independent ones, or every score would be 0 or 1.
+#: The score reported, not the choice of the language, counts a text's n-grams as at most so many independent ones, or every score would be 0 or 1.
 EVIDENCE = 60.0
-PIECE = 1 << 20
-
-
-def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, counts) of the hashed n-grams of the lower-cased text; anything but letters counts as a space."""
+#: Code points that are hashed at a time.
+PIECE = 1 << 19
+
+
+def entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bin) of every n-gram of the lower-cased texts, in parts of about PIECE code points; ASCII other than letters counts as a space.
+
+    Texts follow each other, and a part starts with the last code points of the one before, so that no n-gram
+    is lost or counted twice at a border; none reaches from one text into the next.
+    """
+    longest = max(ORDERS)
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        points = np.frombuffer(t.lower().encode("utf-32-le", "replace"), dtype="<u4")
+        for at in range(0, len(points), PIECE):
+            lead = min(at, longest - 1)
+            held.append((i, lead, points[at - lead : at + PIECE]))
+            size += len(held[-1][2])
+            if size >= PIECE:
+                yield _hashed(held)
+                held, size = [], 0
+    if held:
+        yield _hashed(held)
+
+
+def _hashed(parts: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [len(p) for _, _, p in parts]
+    points = np.concatenate([p for _, _, p in parts])
+    points = np.where((points >= 97) & (points <= 122) | (points >= 0xAA), points, 32).astype(np.uint32)
+    owner = np.repeat([i for i, _, _ in parts], sizes)
+    first = np.cumsum([0, *sizes[:-1]])
+    left = np.repeat(first + sizes, sizes) - np.arange(len(points))  # code points of the same part from here on
+    place = np.arange(len(points)) - np.repeat(first, sizes)
+    lead = np.repeat([k for _, k, _ in parts], sizes)
+    owners, bins = [], []
+    for n in ORDERS:
+        if len(points) < n:
+            break
+        h = np.full(len(points) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+        for i in range(n):
+            h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(15)
+        whole = (left[: len(h)] >= n) & (place[: len(h)] + n > lead[: len(h)])  # ends behind what the part before had
+        owners.append(owner[: len(h)][whole])
+        bins.append((h & np.uint32(BINS - 1))[whole])
+    return np.concatenate(owners), np.concatenate(bins)
+
+
+def ngram_counts(texts: list[str]) -> np.ndarray:
+    """How often each bin occurs in the texts."""
     total = np.zeros(BINS, dtype=np.int64)
-    for at in range(0, len(text), PIECE):
-        points = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), dtype="<u4")
-        points = np.where((points >= 97) & (points <= 122) | (points >= 0xAA), points, 32).astype(np.uint32)
-        for n in ORDERS:
-            if len(points) < n:
-                break
-            h = np.full(len(points) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
-            for i in range(n):
-                h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint32(0x01000193)
-                h ^= h >> np.uint32(15)
-            total += np.bincount(h & (BINS - 1), minlength=BINS)
-    bins = np.nonzero(total)[0]
-    return bins, total[bins]
+    for _, bins in entries(texts):
+        total += np.bincount(bins, minlength=BINS)
+    return total
 
 
 @dataclass
@@ -48,56 +85,75 @@ class LanguageModel:
     weights: np.ndarray  # BINS x languages, log-probabilities
     prior: np.ndarray
 
+    def columns(self) -> np.ndarray:
+        """The weights of one language after the other."""
+        if not hasattr(self, "_columns"):
+            self._columns = np.ascontiguousarray(self.weights.T)
+        return self._columns
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log-likelihood of each text in each language, and its number of n-grams."""
+        logs, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        for owners, bins in entries(texts):
+            n += np.bincount(owners, minlength=len(texts))
+            for k, column in enumerate(self.columns()):
+                logs[:, k] += np.bincount(owners, column[bins], minlength=len(texts))
+        return logs, n
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its tempered probability; und and 0 for texts that are null or have no letter."""
+        asked = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        found, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if asked:
+            logs, n = self.sums([texts[i] for i in asked])
+            best = (logs + self.prior).argmax(axis=1)
+            soft = logs * np.minimum(1.0, EVIDENCE / n)[:, None] + self.prior
+            p = np.exp(soft - soft.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for row, i in enumerate(asked):
+                found[i], scores[i] = self.languages[best[row]], float(p[row, best[row]])
+        return found, scores
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its probability; und and 0 for a text that is null or has no letter."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        bins, counts = ngram_counts(text)
-        n = counts.sum()
-        logs = counts @ self.weights[bins] * (min(1.0, EVIDENCE / n)) + self.prior
-        p = np.exp(logs - logs.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        found, scores = self.predict_all([text])
+        return found[0], scores[0]
 
 
 def fit(docs: DataFrame, label: str | Column = "lang", id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> LanguageModel:
-    """Rows with a null label or text are left out. The result is bounded: BINS counts for each language."""
+    """Rows with a null label or text are left out; of repeated rows each counts. What reaches the driver is bounded: BINS counts for each language."""
     sample = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang") if isinstance(label, str) else label.alias("lang")).filter("lang is not null")
     sample = bounded_sample(sample, "id", rows).filter("text is not null")  # the count needs no texts
 
     def count(batches):
-        import pyarrow as pa
-
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
+            texts: dict[str, list[str]] = {}
             for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                bins, counts = ngram_counts(t)
-                sums.setdefault(lang, np.zeros(BINS, dtype=np.int64))[bins] += counts
-                seen[lang] = seen.get(lang, 0) + 1
+                texts.setdefault(lang, []).append(t)
+            for lang, found in texts.items():  # the last place counts documents
+                sums[lang] = sums.get(lang, 0) + np.append(ngram_counts(found), len(found))
         for lang, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([seen[lang]]), pa.array([total.tobytes()])], names=["lang", "seen", "counts"])
-
-    parts = sample.repartition(8, "id").mapInArrow(count, "lang string, seen bigint, counts binary").collect()
-    languages = sorted({r["lang"] for r in parts})
-    counts = np.zeros((BINS, len(languages)))
-    seen = np.zeros(len(languages))
-    for r in parts:
-        k = languages.index(r["lang"])
-        counts[:, k] += np.frombuffer(r["counts"], dtype=np.int64)
-        seen[k] += r["seen"]
-    smooth = counts + 0.5
+            bins = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins), pa.array(total[bins])], names=["lang", "bin", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    languages = sorted({r["lang"] for r in counted})
+    place = {lang: k for k, lang in enumerate(languages)}
+    counts = np.zeros((BINS + 1, len(languages)))
+    for r in counted:
+        counts[r["bin"], place[r["lang"]]] = r["n"]
+    seen, smooth = counts[BINS], counts[:BINS] + 0.5
     return LanguageModel(languages, np.log(smooth / smooth.sum(axis=0)), np.log((seen + 1) / (seen.sum() + len(languages))) if languages else seen)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text", passed: tuple = ()) -> DataFrame:
-    """One row per document: id, the passed columns, lang_pred, score."""
+    """One row per document, repeated ones too: id, the passed columns, lang_pred, score. Passed columns can't have the names of the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        got = [shared.value.predict(t) for t in texts]
-        return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+        found, scores = shared.value.predict_all(texts)
+        return {"lang_pred": found, "score": scores}
 
-    chosen = docs.select(id, *passed, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != text)
-    return in_batches(chosen, chosen.columns, run, f"{schema}, lang_pred string, score double", passed=[c for c in chosen.columns if c != text])
+    chosen = docs.select(id, *passed, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
+    return in_batches(chosen, chosen.columns, run, f"{schema}, lang_pred string, score double", passed=[c for c in chosen.columns if c != "_text"])

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from lattica.llm import bpe, chunk_dedup, exact_dedup, fingerprint, html_extract, langid, packing, pii, simhash, toxicity
 from lattica.llm.common import fold, table
 
-VOCABULARY = os.environ.get("LATTICA_BPE_FILE", "/opt/tokenizers/word_bpe_49k.json")
+
+
+def vocabulary_path() -> str:
+    """The tokenizer's file: LATTICA_BPE_FILE, or the installed public one."""
+    if named := os.environ.get("LATTICA_BPE_FILE"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +37,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
