@@ -8,9 +8,13 @@ compared. Equal fingerprints are one row throughout, however many documents have
 
 from __future__ import annotations
 
+import json
+import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,28 +69,44 @@ def _listed(prints: DataFrame, masks: list[int]) -> DataFrame:
     return prints.select("*", F.posexplode(keys).alias("combo", "key"))
 
 
-def neighbour_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
-    """(a, b): of the fingerprints that share a key, each with the one before it in order, where they are near.
+#: With more members than this that aren't all connected, a key's near pairs come from balls in place of pairs.
+HEAVY = 4096
 
-    However dense a group is, few distinct fingerprints share a key: what the key leaves open are some 37 bits,
-    and near ones differ in few of them.
-    """
+
+def neighbours(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(rep, fp, combo, key, b, fp_b): every fingerprint under those of its keys that another one has too, with the one before it in order, if any."""
     listed = _listed(prints.select("rep", "fp"), block_masks(blocks, blocks - max_distance))
     order = W.partitionBy("combo", "key").orderBy("fp")
-    beside = listed.select("rep", "fp", F.lag("rep").over(order).alias("b"), F.lag("fp").over(order).alias("fp_b"))
-    return beside.filter(F.col("b").isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_distance)).select(F.col("rep").alias("a"), "b")
+    beside = listed.select("*", F.lag("rep").over(order).alias("b"), F.lag("fp").over(order).alias("fp_b"), F.lead("rep").over(order).alias("after"))
+    return beside.filter("b is not null or after is not null").drop("after")
 
 
-def cross_links(prints: DataFrame, max_distance: int, blocks: int) -> DataFrame:
-    """(a, b): the components, a column of prints beside rep and fp, that a near pair of fingerprints connects. A pair is
-    met under the first combination that it shares only."""
+def cross_links(members: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(a, b): the components that a near pair of fingerprints under one key connects. A pair is met under the first combination that it shares only."""
     masks = block_masks(blocks, blocks - max_distance)
-    left, right = (_listed(prints, masks).select(F.col("component").alias(s), F.col("fp").alias(f"fp_{s}"), "combo", "key") for s in ("a", "b"))
+    left, right = (members.select(F.col("component").alias(s), F.col("fp").alias(f"fp_{s}"), "combo", "key") for s in ("a", "b"))
     differ: Column = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)))
     return left.join(right, ["combo", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & (first == F.col("combo"))).select("a", "b").distinct()
 
 
+def ball_links(members: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): components, a column of members beside fp, connected by pairs of at most that distance, in work that is linear in the members.
+
+    Two fingerprints are near if and only if they meet: one changed in half of the bits at most and the other in the
+    rest. Each lists what it becomes by so many changes (2081 values for four bits) and is linked with the least
+    component that lists the same. For an odd distance the last of the changes is made on one side only.
+    """
+    core = max_distance // 2
+    changes = [sum(1 << i for i in flips) for n in range(max_distance - core + 1) for flips in combinations(range(BITS), n)]
+    inner = sum(1 for c in changes if c.bit_count() <= core)
+    flipped = F.from_json(F.lit(json.dumps([_signed(c) for c in changes])), "array<bigint>")
+    points = members.select("component", F.posexplode(F.transform(flipped, lambda c: c.bitwiseXOR(F.col("fp")))).alias("pos", "point"))
+    points = points.groupBy("point", "component").agg(F.min("pos").alias("pos"))
+    least = points.groupBy("point").agg(F.min(F.when(F.col("pos") < inner, F.col("component"))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("point", "a")
+    return points.join(least, "point").filter("a != component").select("a", F.col("component").alias("b")).distinct()
+
+
 def _labelled(prints: DataFrame, links: DataFrame, by: str) -> DataFrame:
     """prints with component: what links connect the column by to, or that itself."""
     found = connected_components(links).withColumnRenamed("component", "_to")
@@ -94,15 +114,25 @@ def _labelled(prints: DataFrame, links: DataFrame, by: str) -> DataFrame:
     return materialised(joined, "labelled")
 
 
-def near_components(prints: DataFrame, max_distance: int = 4, blocks: int = 7) -> DataFrame:
+def near_components(prints: DataFrame, max_distance: int = 4, blocks: int = 7, heavy: int = HEAVY) -> DataFrame:
     """(rep, fp, component) of prints, distinct fingerprints with an id: the least id that links of at most max_distance bits lead to.
 
-    Links between neighbours in the order of fingerprints, fewer than rows for each key, come first; they join
-    most of a dense group. What is left are links between different components of these, of which only the
-    pairs of components are kept. No link is lost and no group gives all its pairs.
+    Keys that one fingerprint has alone go at once. Links between neighbours in the order of fingerprints, fewer
+    than rows for each key, come first; they join most of a dense group. What is left are links between different
+    components of these, looked for under the keys that hold several: by pairs, or by balls under a key with more
+    than ``heavy`` members, so that no key costs more than ``heavy`` rows for each member. No link is lost.
     """
-    joined = _labelled(prints, neighbour_links(prints, max_distance, blocks), "rep")
-    return _labelled(joined, cross_links(joined, max_distance, blocks), "component")
+    shared = materialised(neighbours(prints, max_distance, blocks), "neighbours")
+    beside = shared.filter(F.col("b").isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= max_distance))
+    joined = _labelled(prints, beside.select(F.col("rep").alias("a"), "b"), "rep")
+    members = shared.select("fp", "combo", "key").join(joined.select("fp", "component"), "fp")
+    keys = members.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("combo", "key", "n")
+    mixed = materialised(members.join(keys, ["combo", "key"]), "mixed")
+    links = cross_links(mixed.filter(F.col("n") <= heavy), max_distance, blocks)
+    dense = mixed.filter(F.col("n") > heavy).select("fp", "component").distinct()
+    if dense.limit(1).count():
+        links = links.unionByName(ball_links(dense, max_distance))
+    return _labelled(joined, links, "component")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, max_distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -130,26 +160,65 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + n]), SEED) for i in range(max(1, len(tokens) - n + 1))), dtype="<u8"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
+#: The wide fingerprints of near_links(): WORDS words of 64 bits, from as many hashes of each shingle.
+WORDS = 8
+WIDE = WORDS * BITS
+_RANDOM = np.random.default_rng(SEED)
+FACTORS = _RANDOM.integers(1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The share of pairs at the least similarity that have no block in common, by the formula in block_plan().
+MISSED = 0.04
 
 
-#: Fixed odd factors and offsets of the independent orders of shingles, ROWS for each of BANDS keys.
-BANDS, ROWS = 25, 5
-_RANDOM = np.random.default_rng(SEED)
-FACTORS, OFFSETS = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of distinct shingles, WIDE bits: the first word's bits come first."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    for part in range(0, len(hashes), 255):  # so that bytes can hold the sums
+        x = hashes[part : part + 255, None] * FACTORS
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))).view(np.uint8)
+        ones += np.add.reduce(np.unpackbits(x, axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
 
+def differing(similarity: float) -> float:
+    """The share of bits in which the SimHashes of sets of that Jaccard similarity differ on average, at most: the angle between them over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: the least shingle in each of ROWS orders. Sets of Jaccard similarity s share one with probability 1 - (1 - s**ROWS)**BANDS."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for part in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        least = np.minimum(least, _mixed(hashes[None, part : part + (1 << 12)] * FACTORS + OFFSETS).min(axis=1))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
-    return keys.view(np.int64)
+
+def block_plan(rows: int, similarity: float) -> tuple[int, int]:
+    """(bits of a block, number of blocks).
+
+    Bits grow with half the logarithm of the rows, which keeps chance pairs few. Bits differ independently, so
+    a pair shares a block of b bits with probability (1 - differing) ** b, and the number of blocks follows
+    from MISSED, alike at every size: 102 blocks of 21 bits for 10**4 rows, 166 of 24 for 10**6, 524 of 31 for 10**10.
+    """
+    bits = min(48, 14 + round(math.log2(max(2, rows)) / 2))
+    return bits, math.ceil(-math.log(MISSED) / (1 - differing(similarity)) ** bits)
+
+
+def block_places(bits: int, blocks: int) -> np.ndarray:
+    """Which bits of a wide fingerprint make each block, drawn at random once."""
+    draw = np.random.default_rng(SEED)
+    return np.stack([draw.choice(WIDE, bits, replace=False) for _ in range(blocks)])
+
+
+def block_keys(prints: list[bytes], places: np.ndarray) -> np.ndarray:
+    """The key of each block of each fingerprint, as rows of 64-bit numbers: the block's bits and its number."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1), axis=1)
+    powers = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+    keys = np.empty((len(prints), len(places)), dtype=np.int64)
+    for k, chosen in enumerate(places):
+        keys[:, k] = bits[:, chosen] @ powers
+    return keys | (np.arange(len(places), dtype=np.int64) << np.int64(places.shape[1]))
+
+
+#: Tables of ids of at most so many rows are broadcast.
+SENT = 1 << 20
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if they are few; they have to be written."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,49 +233,70 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialised(nodes.join(found, "rep", "left").select("rep", "n", "own", F.coalesce("component", "rep").alias("component")), "alike-components")
 
 
-def similar_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component): ids of documents that pairs of at least that Jaccard similarity of word shingles connect.
 
-    Candidates share a band key. Documents of which more than 1 - similarity of the shingles occur in no other
-    candidate have no partner and go first. Each key's member with the fewest such shingles is compared with
-    the others, and then only pairs across the components so found.
+    Similar sets have SimHashes that differ in few bits, about 15 in 100 at 0.8, too many for the blocks of a
+    64-bit fingerprint. So the fingerprints have 512 bits, documents with an equal block are candidates (see
+    block_plan() for how many pairs share none), their first 64 bits have to be near, and then the similarity of
+    their shingles is computed exactly. Equal texts are one document throughout. A document of which more than
+    1 - similarity of the shingles occur in no other candidate has no partner and goes first. Each one is compared
+    with the member of its blocks that has the fewest such shingles, and then only pairs across the components so
+    found are. Rows without an id take no part; rows with one id are one document with all their links.
     """
     kind = docs.schema[id].dataType.simpleString()
-
-    def marks(texts):
-        keys = [band_keys(shingles(t, words)) for t in texts]
-        return {"digest": [xxhash.xxh64_intdigest(b" ".join(_tokens(t)), SEED) - (1 << 63) for t in texts], "keys": [k.tolist() for k in keys]}
-
     named = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("rep"), F.col(text).alias("_text"))
-    rows = materialised(in_batches(named, ["rep", "_text"], marks, f"rep {kind}, digest bigint, keys array<bigint>", passed=["rep"]), "bands")
-    first = materialised(rows.groupBy("digest").agg(F.min("rep").alias("node")), "first")
-    same = rows.select("rep", "digest").join(first, "digest").filter("rep != node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    listed = rows.join(first.select(F.col("node").alias("rep"), "digest"), ["rep", "digest"], "left_semi").select("rep", F.explode("keys").alias("key"))
-    listed = materialised(listed, "listed")
-    often = listed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
-    shared = materialised(listed.join(often, "key"), "shared")
-    found = named.join(materialised(shared.select("rep").distinct(), "suspects"), "rep", "left_semi")
+
+    def prints(texts):
+        return {"digest": [xxhash.xxh64_intdigest(b" ".join(_tokens(t)), SEED) - (1 << 63) for t in texts], "wide": pa.array([wide_fingerprint(shingles(t, words)) for t in texts], pa.binary())}
+
+    rows = materialised(in_batches(named, ["rep", "_text"], prints, f"rep {kind}, digest bigint, wide binary", passed=["rep"]), "wide")
+    distinct = materialised(rows.groupBy("digest").agg(F.min(F.struct("rep", "wide")).alias("first")).select("digest", F.col("first.rep").alias("node"), "first.wide"), "distinct")
+    same = rows.select("rep", "digest").join(distinct.select("digest", "node"), "digest").filter("rep != node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    places = block_places(*block_plan(distinct.count(), similarity))
+
+    def keys(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # bounded memory
+                part = batch.slice(at, 512)
+                wide = part.column("wide").to_pylist()
+                reps = pa.compute.take(part.column("node"), np.repeat(np.arange(len(wide)), len(places)))
+                short = np.repeat(np.frombuffer(b"".join(w[:8] for w in wide), dtype=np.int64), len(places))
+                yield pa.RecordBatch.from_arrays([pa.array(block_keys(wide, places).ravel()), reps, pa.array(short)], names=["key", "rep", "fp"])
+
+    listed = distinct.select("node", "wide").mapInArrow(keys, f"key bigint, rep {kind}, fp bigint")
+    most = math.ceil(BITS * differing(similarity) + 3.6 * math.sqrt(BITS * differing(similarity) * (1 - differing(similarity))))
+
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+    order = W.partitionBy("key").orderBy("fp", "rep")
+    beside = listed.select("*", *(f("fp", k).over(order).alias(f"{f.__name__}{k}") for f in (F.lag, F.lead) for k in (1, 2)))
+    pair = F.col("lag2").isNull() & F.col("lead2").isNull() & (F.col("lag1").isNull() | F.col("lead1").isNull())  # not more than two under the key
+    shared = beside.filter((F.col("lag1").isNotNull() | F.col("lead1").isNotNull()) & (~pair | near("fp", "lag1") | near("fp", "lead1")))
+    shared = materialised(shared.select("key", "rep", "fp"), "shared")
+    found = named.join(_narrow(materialised(shared.select("rep").distinct(), "suspects")), "rep", "left_semi")
     sets = materialised(in_batches(found, ["rep", "_text"], lambda texts: {"hashes": [shingles(t, words).view(np.int64).tolist() for t in texts]}, f"rep {kind}, hashes array<bigint>", passed=["rep"]), "shingles")
     single = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     nodes = sets.groupBy("rep").agg(F.min(F.size("hashes")).alias("n")).join(single, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
     nodes = materialised(nodes.filter((F.col("n") - F.col("own")) / F.col("n") >= similarity), "nodes")
     members = materialised(shared.join(nodes, "rep"), "members")
-    centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep").alias("a"))).alias("c")).select("key", "c.a")
-    links = _alike(members.select("key", F.col("rep").alias("b")).join(centres, "key").filter("a != b").select("a", "b").distinct(), sets, similarity)
+    centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep").alias("a"), F.col("fp").alias("fp_a"))).alias("c"))
+    to_centre = members.select("key", F.col("rep").alias("b"), "fp").join(centres.select("key", "c"), "key").filter((F.col("c.a") != F.col("b")) & near("fp", "c.fp_a"))
+    links = _alike(to_centre.groupBy("b").agg(F.min("c").alias("c")).select("c.a", "b"), sets, similarity)
     nodes = _components(nodes, links)
-    members = materialised(members.select("rep", "key").join(nodes, "rep"), "members")
+    members = materialised(members.select("rep", "key", "fp").join(nodes, "rep"), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     members = materialised(members.join(mixed, "key"), "mixed")
-    left, right = (members.select("key", F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}"), F.col("component").alias(f"c_{s}")) for s in ("a", "b"))
-    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))  # an upper bound of what is common
-    across = left.join(right, "key").filter((F.col("c_a") < F.col("c_b")) & (most / (F.col("n_a") + F.col("n_b") - most) >= similarity)).select("a", "b").distinct()
-    links = links.unionByName(_alike(across, sets, similarity)).unionByName(same)
+    left, right = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "fp", "n", "own", "component"))) for s in ("a", "b"))
+    most_common = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))  # an upper bound of what is common
+    across = left.join(right, "key").filter((F.col("component_a") < F.col("component_b")) & near("fp_a", "fp_b") & (most_common / (F.col("n_a") + F.col("n_b") - most_common) >= similarity))
+    links = links.unionByName(_alike(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, similarity)).unionByName(same)
     return connected_components(links)
 
 
 def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group that pairs of at least that Jaccard similarity of word shingles make: the one
-    with the least id, and all rows without an id."""
-    drop = similar_links(docs, id, text, words, similarity).filter("node != component").select(F.col("node").alias("gone_"))
-    drop = materialised(drop, "drop")
-    return docs.join(drop, docs[id] == drop["gone_"], "left_anti")
+    with the least id, and all rows without an id. Null and blank texts are one group. An empty table gives no rows."""
+    drop = materialised(near_links(docs, id, text, words, similarity).filter("node != component").select(F.col("node").alias("gone_")), "drop")
+    return docs.join(_narrow(drop), docs[id] == drop["gone_"], "left_anti")
