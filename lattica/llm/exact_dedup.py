@@ -56,10 +56,11 @@ def repeat_filter(digested: DataFrame, words: int) -> DataFrame:
 
 
 class Filter:
-    """A written filter: its table, its number of words and whether it is small enough to be sent to all executors."""
+    """A written filter, of about SLOTS_A_ROW bits a row unless slots says how many: its table, its number of words and
+    whether it is small enough to be sent to all executors."""
 
-    def __init__(self, digested: DataFrame, words: int | None = None, sent: int = WORDS_SENT):
-        self.words = words or filter_words(digested.count())
+    def __init__(self, digested: DataFrame, slots: int | None = None, sent: int = WORDS_SENT):
+        self.words = filter_words(digested.count()) if slots is None else max(1, slots // 64)
         self.table = materialised(repeat_filter(digested, self.words), "bloom")
         self.small = self.table.count() <= sent
 
@@ -71,14 +72,14 @@ class Filter:
         return joined.withColumn("maybe_", F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_word", "_bits")
 
 
-def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int | None = None, normalise=None, sent: int = WORDS_SENT) -> DataFrame:
+def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", slots: int | None = None, normalise=None, sent: int = WORDS_SENT) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256. The largest id of equal texts stays.
 
     Null and empty texts are equal. A null id is below all others; rows with the same text and the same id
     count singly in group_size and are all marked as kept (drop_exact() keeps one). An empty table gives no rows.
     """
     base = materialised(digests(docs.select(id, text), text, normalise).select(id, "text_sha256"), "digests")
-    tested = Filter(base, words, sent).tested(base)
+    tested = Filter(base, slots, sent).tested(base)
     alone, maybe = tested.filter("not maybe_").drop("maybe_"), materialised(tested.filter("maybe_").drop("maybe_"), "maybe")
     groups = materialised(maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(id).alias("keep_id")), "groups")
     joined = join_groups(maybe, groups, "text_sha256", "group_size", maybe.count())
@@ -86,7 +87,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return single.unionByName(joined).select(id, "keep_id", "group_size", F.col(id).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int | None = None, sent: int = WORDS_SENT) -> DataFrame:
+def drop_exact(docs: DataFrame, id: str = "doc_id", text: str = "text", slots: int | None = None, sent: int = WORDS_SENT) -> DataFrame:
     """docs without the copies: of rows with equal texts the one with the largest id stays, with all its columns.
 
     What stays is decided on ids and digests. Texts that the filter finds unique are not shuffled, and neither
@@ -97,7 +98,7 @@ def drop_exact(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     base = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_id"), sha.alias("text_sha256"))
     keys = materialised(base.select("_id", "text_sha256"), "digests")
-    bloom = Filter(keys, words, sent)
+    bloom = Filter(keys, slots, sent)
     same = bloom.tested(keys).filter("maybe_").groupBy("text_sha256", "_id").agg(F.count(F.lit(1)).alias("rows"))
     last = F.max(F.struct(F.col("_id"), F.col("rows")))
     stay = materialised(same.groupBy("text_sha256").agg(last.alias("last")).select(F.col("text_sha256").alias("_sha"), F.col("last._id").alias("_keep"), F.col("last.rows").alias("_rows")), "stay")

@@ -5,9 +5,11 @@ fingerprint is the sum of the vectors, each lane modulo 2**16: it doesn't depend
 a paragraph is added or removed by adding or subtracting its vector. A paragraph's vector is itself a sum,
 over the paragraph as a whole and its word triples, of hashed bits, one for each lane; so what two documents
 share shows in their fingerprints, and the cosine of the centred lanes estimates how much that is. Unequal
-multisets get equal sums with a chance of about 2**-128.
+multisets get equal sums with a chance of about 2**-128 a pair. The hashes aren't cryptographic: against somebody
+who looks for equal sums, compare the texts' digests.
 
-Two lanes are kept in one long (bits 0-31 and 32-63) while they are summed, so that no sum can overflow.
+Sums are made in two steps. Up to CHUNK units of a text are added with eight lanes to a long, which can't overflow,
+and these sums with two lanes to a long (bits 0-31 and 32-63). What two texts share is summed once and combined.
 """
 
 from __future__ import annotations
@@ -21,33 +23,43 @@ from pyspark.sql import functions as F
 
 LANES = 128
 SUMS = LANES // 2
-PAIR = (1 << 32) | 1
+#: Units that are added with eight bits for each lane: the highest lane must not reach the sign.
+CHUNK = 127
+BYTES = 0x0101_0101_0101_0101
 #: Buckets of neighbouring ids for each shuffle partition.
 BUCKETS = 4
 
 
 def units(text: Column) -> Column:
-    """The hashes that a text's vector is made of: of each paragraph that isn't empty, and of its word triples."""
+    """The hashes that a text's vector is made of: two independent ones of each paragraph that isn't empty, and one of each
+    of its word triples (at its end shorter ones)."""
 
     def of(p: Column) -> Column:
-        words = F.transform(F.split(p, " "), lambda w: F.xxhash64(w))
         # the outer transform is over a single element: it binds the array of words, which is then made only once
-        triples = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))))
-        return F.concat(F.array(F.xxhash64(p, F.lit("paragraph"))), F.flatten(triples))
+        triples = F.transform(F.array(F.split(p, " ")), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))))
+        return F.concat(F.array(F.xxhash64(p, F.lit("paragraph")), F.xxhash64(F.lit("second"), p)), F.flatten(triples))
 
     return F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), of))
 
 
-def lane_sums(unit: str = "unit") -> list[Column]:
-    """The aggregates s0.. and n that add up the hashed bits of units."""
-    again = F.xxhash64(unit, F.lit(1))
-    bits = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(PAIR)) for h in (F.col(unit), again) for s in range(32)]
-    n = F.count(unit)  # a text without units has one null row
-    return [F.when(n == 0, 0).otherwise(F.sum(b)).alias(f"s{i}") for i, b in enumerate(bits)] + [n.alias("n")]
+def summed(rows: DataFrame, keys: Sequence[str], units: Column) -> DataFrame:
+    """The keys, s0.. and n, the sums of the hashed bits of the units of each row; rows without units give zeros. The keys
+    have to tell rows apart."""
+    listed = rows.select(*keys, F.posexplode_outer(units).alias("pos", "unit")).select(*keys, F.floor(F.col("pos") / CHUNK).alias("chunk"), "unit")
+    again = F.xxhash64("unit", F.lit(1))
+    bits = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(BYTES)) for h in (F.col("unit"), again) for s in range(8)]
+    n = F.count("unit")  # a text without units has one null row
+    chunks = listed.groupBy(*keys, "chunk").agg(*(F.when(n == 0, 0).otherwise(F.sum(b)).alias(f"b{i}") for i, b in enumerate(bits)), n.alias("m"))
+
+    def lane(i: int, byte: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"b{i}"), 8 * byte).bitwiseAND(F.lit(0xFF))
+
+    pairs = [lane(i, k).bitwiseOR(F.shiftleft(lane(i, k + 4), 32)) for i in range(len(bits)) for k in range(4)]
+    return chunks.groupBy(*keys).agg(*(F.sum(p).alias(f"s{i}") for i, p in enumerate(pairs)), F.sum("m").alias("n"))
 
 
 def vector() -> Column:
-    """What lane_sums() gives as one struct: lanes (an array of SUMS longs) and n."""
+    """What summed() gives as one struct: lanes (an array of SUMS longs) and n."""
     return F.struct(F.array(*(F.col(f"s{i}") for i in range(SUMS))).alias("lanes"), F.col("n").alias("n"))
 
 
@@ -89,8 +101,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, vector) of each document; rows with the same id count as one document. Null counts as empty."""
-    rows = docs.select(id, F.explode_outer(units(F.coalesce(F.col(text), F.lit("")))).alias("unit"))
-    return rows.groupBy(id).agg(*lane_sums()).select(id, vector().alias("vector"))
+    named = docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = summed(named, ["id", "row"], units(F.col("text")))
+    whole = rows.groupBy("id").agg(*(F.sum(_wrapped(F.col(f"s{i}"))).alias(f"s{i}") for i in range(SUMS)), F.sum("n").alias("n"))
+    return whole.select(F.col("id").alias(id), vector().alias("vector"))
 
 
 def id_buckets(id: Column, bounds: Sequence[int]) -> Column:
@@ -139,11 +153,21 @@ def fingerprint_report(docs: DataFrame, id: str = "doc_id", text: str = "text")
     """
     placed = with_next(docs, id, text).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    both = placed.select("bucket", "guest", "rn", "id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), F.posexplode(F.array("text", edited)).alias("edition", "edition_text"))
-    keys = ["bucket", "guest", "rn", "id", "n_chars", "edited_sha256", "edition"]
-    vectors = both.select(*keys, F.explode_outer(units(F.col("edition_text"))).alias("unit")).groupBy(*keys).agg(*lane_sums()).select(*keys, vector().alias("v"))
-    order = W.partitionBy("bucket").orderBy("guest", "rn", "edition")
-    seen = vectors.select("*", F.lead("v", 1).over(order).alias("e"), F.lead("v", 2).over(order).alias("next")).filter("edition = 0 and guest = 0")
+    head = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
+    edited = F.concat(head, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    # whole paragraphs of the first half are in both texts: they are summed once, and then what follows in each
+    shared = F.char_length(head) - F.char_length(F.substring_index(head, "\n", -1))
+    cut = placed.select("bucket", "guest", "rn", "id", "n_chars", "text", edited.alias("edited"), shared.alias("shared"))
+    parts = [F.substring("text", F.lit(1), F.col("shared")), F.expr("substring(text, shared + 1)"), F.when(F.col("guest") == 0, F.expr("substring(edited, shared + 1)")), F.lit(None)]
+    digest = F.when(F.col("guest") == 0, F.sha2(F.col("edited").cast("binary"), 256))
+    several = cut.select("bucket", "guest", "rn", "id", "n_chars", digest.alias("digest"), F.posexplode(F.array(*parts)).alias("part", "part_text"))
+    # the rows without a text carry the digest, so that units are grouped by short keys
+    rows = several.select("bucket", "guest", "rn", "part", "id", "n_chars", F.when(F.col("part") == 3, F.col("digest")).alias("edited_sha256"), "part_text")
+    keys = ["bucket", "guest", "rn", "part", "id", "n_chars", "edited_sha256"]
+    vectors = summed(rows, keys, units(F.col("part_text"))).select(*keys, vector().alias("v"))
+    order = W.partitionBy("bucket").orderBy("guest", "rn", "part")
+    near = {"a": F.lag("v", 3), "b": F.lag("v", 2), "c": F.lag("v", 1), "x": F.lead("v", 1), "y": F.lead("v", 2)}
+    seen = vectors.select("*", *(f.over(order).alias(k) for k, f in near.items())).filter("part = 3 and guest = 0")
+    both = seen.select("id", "n_chars", "edited_sha256", *(combine(F.col(p), F.col(q)).alias(k) for k, p, q in (("v", "a", "b"), ("e", "a", "c"), ("next", "x", "y"))))
     v, e, nxt = F.col("v"), F.col("e"), F.col("next")
-    return seen.select(F.col("id").alias(id), "n_chars", "edited_sha256", as_hex(v).alias("fingerprint"), as_hex(e).alias("edited_fingerprint"), likeness(v, e).alias("near_edited"), likeness(v, nxt).alias("near_next"))
+    return both.select(F.col("id").alias(id), "n_chars", "edited_sha256", as_hex(v).alias("fingerprint"), as_hex(e).alias("edited_fingerprint"), likeness(v, e).alias("near_edited"), likeness(v, nxt).alias("near_next"))

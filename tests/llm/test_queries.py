@@ -65,7 +65,7 @@ def test_pii(spark, documents):
 
 def test_bpe(spark, documents):
     tokenizers = pytest.importorskip("tokenizers")
-    theirs = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    theirs = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
     for r in run(spark, "op4_bpe").collect():
         ids = theirs.encode(documents[r.doc_id], add_special_tokens=False).ids
         want = (len(ids), " ".join(map(str, ids)), theirs.decode(ids, skip_special_tokens=False))
