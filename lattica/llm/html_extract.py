@@ -3,13 +3,16 @@
 Paragraphs pass points for length and commas up to their ancestors (whole to the parent, half to the
 grandparent, less beyond); a container's points are discounted by its link density. The best container is
 kept, or the article that it is a part of, with those siblings that score well, read like text or have few
-links, and all that is furniture within is left out.
+links, and all that is furniture within is left out. Furniture is told by element, by words in class, id and
+role, and by how much of the page's text and links an element holds: see left_out().
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -17,89 +20,145 @@ from lattica.llm.common import in_batches
 
 #: Elements by what they are to the reader.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math head title iframe object canvas audio video select option textarea button".split())
-FURNITURE = frozenset("nav header footer aside form dialog menu".split())
+HIDDEN = frozenset("script style noscript template svg head title iframe object canvas audio video select option textarea button".split())
+FURNITURE = frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 HOLDERS = BLOCK - SCORED | {"td"}  # what can be the container of an article
 CLOSES_P = BLOCK - {"html", "body"}
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe"))
-UNLIKELY = re.compile(r"\b(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|social|sidebar|side|related|recommend\w*|breadcrumbs?|menu|navbar|navigation|nav|footer|header|masthead|comments?|replies|respond|disqus|pagination|pager|toolbar|widget|notice|disclaimer|legal|login|skip|tags?)\b")
+#: Words in class, id and role of readers' comments, of other furniture, of what is furniture outside of an article or if it
+#: mostly links, and of articles.
+REPLIES = re.compile(r"\b(comments?|replies|respond|disqus)\b")
+UNLIKELY = re.compile(r"\b(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|social|sidebar|breadcrumbs?|menu|navbar|navigation|nav|footer|masthead|pagination|pager|toolbar|widget|notice|login|skip)\b")
+DOUBTFUL = re.compile(r"\b(side|related|recommend\w*|header|disclaimer|legal|tags?)\b")
 LIKELY = re.compile(r"\b(article|body|content|entry|main|page|post|story|text|blog)\b")
+WITHIN = re.compile(r"\b(article|entry|post|story)\b")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A tag by HTML's own rules, where a quote counts at the start of a value only, and one that ends at the next > whatever it holds.
+TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))?+)*+)>")
+LOOSE_TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>[^>]*+)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")
+SPACES = re.compile(r"[\s_-]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "hint", "score", "hidden", "length", "linked")
+    __slots__ = ("name", "parent", "children", "hint", "score", "hidden", "within", "out", "length", "linked", "titled")
 
     def __init__(self, name: str, parent: Node | None, hint: str = "", hidden: bool = False):
         self.name, self.parent, self.hint, self.hidden = name, parent, hint, hidden
         self.children: list[Node | str] = []
         self.score = self.length = self.linked = 0.0
+        self.out = self.titled = False
+        self.within = parent is not None and (parent.within or parent.name in ("article", "main") or bool(parent.hint and WITHIN.search(parent.hint)))
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and decoded text. Unclosed elements end where HTML ends them; a last tag that is cut off is dropped."""
+    """A tree of elements and decoded text. Unclosed elements end where HTML ends them, and no text is lost: a closing tag
+    without its element is passed over, and a < that starts nothing, or a tag without an end, is text."""
     root = node = Node("html", None)
-    at, end = 0, len(html)
+    opened: Counter[str] = Counter()
+    at, end, tag, last = 0, len(html), TAG, html.rfind(">")
     while at < end:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            text = m[0]
-            if text[0] != "<":
-                node.children.append(htmllib.unescape(text))
-            elif len(text) == 1 and not re.match(r"[A-Za-z/!?]", html[at : at + 1] or "a"):
-                node.children.append("<")
-            elif len(text) == 1:
-                break  # an unfinished tag
+        less = html.find("<", at)
+        if less != at:
+            less = end if less < 0 else less
+            node.children.append(htmllib.unescape(html[at:less]))
+            at = less
+            continue
+        m = tag.match(html, at) if at < last else None
+        if m is None:
+            if skipped := OTHER.match(html, at):
+                at = skipped.end()
+                continue
+            if html[at + 1 : at + 3].lstrip("/")[:1].isalpha() and tag is TAG and at < last:
+                tag = LOOSE_TAG  # a quote that never ends: from here on, tags end at the next >
+                continue
+            node.children.append("<")
+            at += 1
             continue
-        name = name.lower()
+        at = m.end()
+        name = m["name"].lower()
         if m["close"]:
-            up: Node | None = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[name]:
+                while node.name != name:
+                    opened[node.name] -= 1
+                    node = node.parent
+                opened[name] -= 1
+                node = node.parent
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            node = _closed(node, "p", ("div", "article", "section", "td", "li", "blockquote", "main", "body"))
-        if name in ("li", "td", "th", "tr", "dd", "dt", "option"):
-            node = _closed(node, name, ("ul", "ol", "table", "dl", "select", "div"))
+        if name in CLOSES_P and opened["p"]:
+            node = _closed(node, "p", ("div", "article", "section", "td", "li", "blockquote", "main"), opened)
+        if name in ("li", "td", "th", "tr", "dd", "dt", "option") and opened[name]:
+            node = _closed(node, name, ("ul", "ol", "table", "dl", "select", "div"), opened)
         attrs = m["attrs"]
-        found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs.strip() else {}
-        hint = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().replace("_", " ").replace("-", " ") if found else ""
-        hidden = "hidden" in found.get("aria-hidden", "").replace("true", "hidden") or bool(re.search(r"\shidden(\s|=|$)", f" {attrs} ")) or "display:none" in found.get("style", "").replace(" ", "")
+        found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)} if attrs.strip() else {}
+        hint = SPACES.sub(" ", f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()).strip() if found else ""
+        hidden = found.get("aria-hidden", "").lower() == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         child = Node(name, node, hint, hidden)
         node.children.append(child)
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             child.children.append(html[at : close.start() if close else end])
             at = close.end() if close else end
-        elif name not in VOID and not attrs.endswith("/"):
+        elif name not in VOID and not EMPTY.search(attrs):
+            opened[name] += 1
             node = child
     return root
 
 
-def _closed(node: Node, name: str, until: tuple[str, ...]) -> Node:
+def _closed(node: Node, name: str, until: tuple[str, ...], opened: Counter[str]) -> Node:
     """The place for a new element that ends an open one of that name, unless it lies outside of one of until."""
     up: Node | None = node
+    passed: Counter[str] = Counter()
     while up is not None and up.name not in until:
+        passed[up.name] += 1
         if up.name == name:
+            opened.subtract(passed)
             return up.parent or up
         up = up.parent
     return node
 
 
-def left_out(node: Node) -> bool:
-    if node.hidden or node.name in HIDDEN or node.name in FURNITURE:
+def _judge(root: Node) -> None:
+    """Note for every element whether it is left out, from the text, the links and the title that it holds."""
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        n, done = stack.pop()
+        if not done:
+            stack.append((n, True))
+            stack += [(c, False) for c in n.children if isinstance(c, Node) and not c.hidden and c.name not in HIDDEN]
+            continue
+        n.length = float(sum(len(c.strip()) if isinstance(c, str) else c.length for c in n.children))
+        n.linked = n.length if n.name == "a" else float(sum(c.linked for c in n.children if isinstance(c, Node)))
+        n.titled = n.name == "h1" or any(isinstance(c, Node) and (c.titled or c.name in ("article", "main")) and not (c.hint and REPLIES.search(c.hint)) for c in n.children)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.out = n is not root and left_out(n, root.length)
+        todo += [c for c in n.children if isinstance(c, Node)]
+
+
+def left_out(node: Node, total: float) -> bool:
+    """Whether an element is furniture: by its kind; by words for comments, unless it holds the title or, as an article, half
+    of the page's text; by other such words, unless it holds the title or half of the text or is an article; and by doubtful
+    words, outside of an article or where half of its text is links. A header within an article belongs to it."""
+    if node.hidden or node.name in HIDDEN or node.name in FURNITURE or node.name == "header" and not node.within:
+        return True
+    if not node.hint or node.titled:
+        return False
+    article, most = node.name in ("article", "main"), node.length > 0.5 * total
+    if REPLIES.search(node.hint):
+        return not (article and most)
+    if article or most:
+        return False
+    if UNLIKELY.search(node.hint):
         return True
-    return bool(node.hint and node.name not in ("article", "main") and UNLIKELY.search(node.hint) and not LIKELY.search(node.hint))
+    return bool(DOUBTFUL.search(node.hint)) and (node.linked > 0.5 * node.length or not node.within and not WITHIN.search(node.hint))
 
 
 def _measure(node: Node) -> tuple[float, float]:
@@ -110,7 +169,7 @@ def _measure(node: Node) -> tuple[float, float]:
         n, done = stack.pop()
         if not done:
             stack.append((n, True))
-            stack += [(c, False) for c in n.children if isinstance(c, Node) and not left_out(c)]
+            stack += [(c, False) for c in n.children if isinstance(c, Node) and not c.out]
             continue
         own = [c for c in n.children if isinstance(c, str)]
         length = sum(len(c.strip()) for c in own)
@@ -143,8 +202,9 @@ def _measure(node: Node) -> tuple[float, float]:
     return sizes[id(node)]
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """The white-space-normalised text of each block, in page order."""
+def _blocks(node: Node, keep: Callable[[Node | str], bool] = lambda c: True) -> list[str]:
+    """The white-space-normalised text of each block, in page order, of those children of the node that keep takes."""
+    out: list[str] = []
     line: list[str] = []
 
     def flush() -> None:
@@ -152,7 +212,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             out.append(text)
         line.clear()
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = list(reversed([c for c in node.children if keep(c)]))
     while stack:
         n = stack.pop()
         if n is None:
@@ -161,13 +221,13 @@ def _blocks(node: Node, out: list[str]) -> None:
             line.append(n)
         elif n.name == "br":
             line.append("\n")
-        elif n is node or not left_out(n):
-            block = n.name in BLOCK
-            if block:
+        elif not n.out:
+            if n.name in BLOCK:
                 flush()
                 stack.append(None)
             stack += reversed(n.children)
     flush()
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -175,6 +235,7 @@ def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
+    _judge(root)
     length, _ = _measure(root)
     if not length:
         return ""
@@ -183,22 +244,12 @@ def main_text(page: str | None) -> str:
         n = stack.pop()
         if n.score > best.score and n.name in HOLDERS:
             best = n
-        stack += [c for c in n.children if isinstance(c, Node) and not left_out(c)]
+        stack += [c for c in n.children if isinstance(c, Node) and not c.out]
     while best.name not in ("article", "main") and best.parent is not None and best.parent.name in ("article", "main"):
         best = best.parent
-    out: list[str] = []
     if best.parent is None:
-        _blocks(best, out)
-    else:
-        for c in best.parent.children:
-            if c is best:
-                _blocks(best, out)
-            elif isinstance(c, str):
-                if best.name != "article" and c.strip():
-                    out.append(" ".join(c.split()))
-            elif not left_out(c) and _reads_on(c, best):
-                _blocks(c, out)
-    return " ".join(out)
+        return " ".join(_blocks(best))
+    return " ".join(_blocks(best.parent, lambda c: c is best or (best.name != "article" if isinstance(c, str) else _reads_on(c, best))))
 
 
 def _reads_on(node: Node, best: Node) -> bool:
@@ -211,7 +262,7 @@ def _reads_on(node: Node, best: Node) -> bool:
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: id, url, text, n_chars."""
+    """One row per page, repeated ones too: id, url, text, n_chars. Null, empty and text-free pages have an empty text."""
 
     def run(texts):
         got = [main_text(t) for t in texts]

@@ -156,7 +156,8 @@ TEXTS = ["ΑΣ Σ", "İstanbul", "a\x1cb \x1f", "<|endoftext|>x <|startoftext|>"
 def test_bpe_is_the_librarys(monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     theirs = tokenizers.Tokenizer.from_file(WORDS)
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 30)
+    monkeypatch.setattr(bpe, "LONGEST", 5)
     monkeypatch.setattr(bpe, "GATHER", 10)
     for text, (n, ids, back) in zip(TEXTS, bpe.Encoder(WORDS).encode(TEXTS), strict=True):
         want = theirs.encode(text, add_special_tokens=False).ids
