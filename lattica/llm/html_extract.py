@@ -57,7 +57,7 @@ class Node:
 
 def parse(html: str) -> Node:
     """A tree of elements and decoded text. Unclosed elements end where HTML ends them, and no text is lost: a closing tag
-    without its element is passed over, and a < that starts nothing, or a tag without an end, is text."""
+    without its element is passed over, and a < that starts nothing, or a tag without an end, is text, but for one that ends the page."""
     root = node = Node("html", None)
     opened: Counter[str] = Counter()
     at, end, tag, last = 0, len(html), TAG, html.rfind(">")
@@ -76,7 +76,8 @@ def parse(html: str) -> Node:
             if html[at + 1 : at + 3].lstrip("/")[:1].isalpha() and tag is TAG and at < last:
                 tag = LOOSE_TAG  # a quote that never ends: from here on, tags end at the next >
                 continue
-            node.children.append("<")
+            if at + 1 < end:
+                node.children.append("<")
             at += 1
             continue
         at = m.end()
