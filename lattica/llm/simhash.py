@@ -166,7 +166,9 @@ WIDE = WORDS * BITS
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The share of pairs at the least similarity that have no block in common, by the formula in block_plan().
-MISSED = 0.04
+MISSED = 0.002
+#: Under keys with at most so many members, only those with a near one beside them go on.
+CROWD = 256
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -190,9 +192,9 @@ def block_plan(rows: int, similarity: float) -> tuple[int, int]:
 
     Bits grow with half the logarithm of the rows, which keeps chance pairs few. Bits differ independently, so
     a pair shares a block of b bits with probability (1 - differing) ** b, and the number of blocks follows
-    from MISSED, alike at every size: 102 blocks of 21 bits for 10**4 rows, 166 of 24 for 10**6, 524 of 31 for 10**10.
+    from MISSED, alike at every size: 102 blocks of 17 bits for 10**4 rows, 167 of 20 for 10**6, 525 of 27 for 10**10.
     """
-    bits = min(48, 14 + round(math.log2(max(2, rows)) / 2))
+    bits = min(48, 10 + round(math.log2(max(2, rows)) / 2))
     return bits, math.ceil(-math.log(MISSED) / (1 - differing(similarity)) ** bits)
 
 
@@ -238,7 +240,7 @@ def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
     Similar sets have SimHashes that differ in few bits, about 15 in 100 at 0.8, too many for the blocks of a
     64-bit fingerprint. So the fingerprints have 512 bits, documents with an equal block are candidates (see
-    block_plan() for how many pairs share none), their first 64 bits have to be near, and then the similarity of
+    block_plan() for how many pairs share none), their first 128 bits have to be near, and then the similarity of
     their shingles is computed exactly. Equal texts are one document throughout. A document of which more than
     1 - similarity of the shingles occur in no other candidate has no partner and goes first. Each one is compared
     with the member of its blocks that has the fewest such shingles, and then only pairs across the components so
@@ -261,37 +263,38 @@ def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
                 part = batch.slice(at, 512)
                 wide = part.column("wide").to_pylist()
                 reps = pa.compute.take(part.column("node"), np.repeat(np.arange(len(wide)), len(places)))
-                short = np.repeat(np.frombuffer(b"".join(w[:8] for w in wide), dtype=np.int64), len(places))
-                yield pa.RecordBatch.from_arrays([pa.array(block_keys(wide, places).ravel()), reps, pa.array(short)], names=["key", "rep", "fp"])
+                short = np.repeat(np.frombuffer(b"".join(w[:16] for w in wide), dtype=np.int64).reshape(-1, 2), len(places), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(block_keys(wide, places).ravel()), reps, pa.array(short[:, 0]), pa.array(short[:, 1])], names=["key", "rep", "fp", "gp"])
 
-    listed = distinct.select("node", "wide").mapInArrow(keys, f"key bigint, rep {kind}, fp bigint")
-    most = math.ceil(BITS * differing(similarity) + 3.6 * math.sqrt(BITS * differing(similarity) * (1 - differing(similarity))))
+    listed = distinct.select("node", "wide").mapInArrow(keys, f"key bigint, rep {kind}, fp bigint, gp bigint")
+    bits = 2 * BITS * differing(similarity)
+    most = math.ceil(bits + 3.6 * math.sqrt(bits * (1 - differing(similarity))))
 
     def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+        return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.gp").bitwiseXOR(F.col(f"{b}.gp"))) <= most
 
-    order = W.partitionBy("key").orderBy("fp", "rep")
-    beside = listed.select("*", *(f("fp", k).over(order).alias(f"{f.__name__}{k}") for f in (F.lag, F.lead) for k in (1, 2)))
-    pair = F.col("lag2").isNull() & F.col("lead2").isNull() & (F.col("lag1").isNull() | F.col("lead1").isNull())  # not more than two under the key
-    shared = beside.filter((F.col("lag1").isNotNull() | F.col("lead1").isNotNull()) & (~pair | near("fp", "lag1") | near("fp", "lead1")))
-    shared = materialised(shared.select("key", "rep", "fp"), "shared")
+    met = materialised(listed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "met")
+    few = met.filter(F.col("n") <= CROWD).drop("n")
+    beside = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.rep") != F.col("b.rep")) & near("a", "b")).select("key", "a.rep", "a.fp", "a.gp").distinct()
+    shared = materialised(beside.unionByName(met.filter(F.col("n") > CROWD).drop("n")), "shared")
     found = named.join(_narrow(materialised(shared.select("rep").distinct(), "suspects")), "rep", "left_semi")
     sets = materialised(in_batches(found, ["rep", "_text"], lambda texts: {"hashes": [shingles(t, words).view(np.int64).tolist() for t in texts]}, f"rep {kind}, hashes array<bigint>", passed=["rep"]), "shingles")
     single = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     nodes = sets.groupBy("rep").agg(F.min(F.size("hashes")).alias("n")).join(single, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
     nodes = materialised(nodes.filter((F.col("n") - F.col("own")) / F.col("n") >= similarity), "nodes")
     members = materialised(shared.join(nodes, "rep"), "members")
-    centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep").alias("a"), F.col("fp").alias("fp_a"))).alias("c"))
-    to_centre = members.select("key", F.col("rep").alias("b"), "fp").join(centres.select("key", "c"), "key").filter((F.col("c.a") != F.col("b")) & near("fp", "c.fp_a"))
-    links = _alike(to_centre.groupBy("b").agg(F.min("c").alias("c")).select("c.a", "b"), sets, similarity)
+    centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep"), F.col("fp"), F.col("gp"))).alias("c"))
+    to_centre = members.alias("m").join(centres, "key").filter((F.col("c.rep") != F.col("m.rep")) & near("m", "c"))
+    links = _alike(to_centre.groupBy(F.col("m.rep").alias("b")).agg(F.min("c").alias("c")).select(F.col("c.rep").alias("a"), "b"), sets, similarity)
     nodes = _components(nodes, links)
-    members = materialised(members.select("rep", "key", "fp").join(nodes, "rep"), "members")
+    members = materialised(members.select("rep", "key", "fp", "gp").join(nodes, "rep"), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     members = materialised(members.join(mixed, "key"), "mixed")
-    left, right = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "fp", "n", "own", "component"))) for s in ("a", "b"))
-    most_common = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))  # an upper bound of what is common
-    across = left.join(right, "key").filter((F.col("component_a") < F.col("component_b")) & near("fp_a", "fp_b") & (most_common / (F.col("n_a") + F.col("n_b") - most_common) >= similarity))
-    links = links.unionByName(_alike(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, similarity)).unionByName(same)
+    left, right = members.alias("a"), members.alias("b")
+    most_common = F.expr("least(a.n - a.own, b.n - b.own)")  # an upper bound of what is common
+    enough = most_common / (F.expr("a.n + b.n") - most_common) >= similarity
+    across = left.join(right, "key").filter(F.expr("a.component < b.component") & near("a", "b") & enough)
+    links = links.unionByName(_alike(across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), sets, similarity)).unionByName(same)
     return connected_components(links)
 
 
