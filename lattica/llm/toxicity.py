@@ -1,10 +1,10 @@
 """A toxicity classifier with counterfactual regularisation.
 
 It is fitted on a bounded sample of labelled rows. The features are the presence of words, once or
-repeatedly, and of their first 4 to 8 letters; Spark counts how many documents of each class hold a feature, and the FEATURES most telling
-ones are weighed by logistic regression. Counterfactual pairs come from the sample: each text that names a
-group is compared with the same sentences naming another group, and the square of the change in score is
-penalised, so that which group a text mentions doesn't move its score.
+repeatedly, and of their first 4 to 8 letters; Spark counts how many documents of each class hold a feature, and
+the most telling ones are weighed by logistic regression. Counterfactual pairs come from the sample's sentences:
+each term that names a group is swapped for every other one of its row, and the square of the change in score is
+penalised, so that which group a sentence mentions doesn't move its score.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import bounded_sample, in_batches, materialised
 
-#: Terms that name groups of people; a term is swapped for the others of its row.
+#: Terms that name groups of people, in four languages; a term is swapped for the others of its row.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -33,17 +34,44 @@ IDENTITIES = (
     ("immigrant", "refugee", "native", "foreigner"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("deaf", "blind", "disabled", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("schwule", "lesben", "heteros", "bisexuelle", "transpersonen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    ("gehörlose", "blinde", "behinderte", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels", "transgenres"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("immigrés", "réfugiés", "autochtones", "étrangers"),
+    ("sourds", "aveugles", "handicapés", "vieux", "jeunes"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales", "transexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("inmigrantes", "refugiados", "autóctonos", "extranjeros"),
+    ("sordos", "ciegos", "discapacitados", "ancianos", "jóvenes"),
 )
-SWAP = {term: row[(i + 1) % len(row)] for row in IDENTITIES for i, term in enumerate(row)}
+#: Each term's others, of all its rows.
+OTHERS = {term: tuple(dict.fromkeys(t for row in IDENTITIES if term in row for t in row if t != term)) for row in IDENTITIES for term in row}
 
 WORD = re.compile(r"[^\W\d_]+")
 BINS = 1 << 20
+SENTENCE = re.compile(r"[.!?\n]+")
+#: How many features the model has at most, those most telling for the label (or also against it, by a parameter of fit()), and in how
+#: many labelled documents one has to occur. The README says what these parameters change on the held-out fold.
 FEATURES = 4096
+MIN_DOCS = 4
 #: About how many labelled rows the model is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 30_000
-MIN_DOCS = 4
 THRESHOLD = 0.7
-KEPT_WORDS = 500_000
+#: Words whose features a Python worker remembers, and how long they are at most.
+KEPT_WORDS = 300_000
+LONGEST = 64
 
 
 def word_bins(word: str) -> list[int]:
@@ -56,40 +84,39 @@ class Features:
 
     def __init__(self, chosen: dict[int, int] | None = None):
         self.chosen = chosen
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        bins = word_bins(word)
+    def of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The bins of a word that occurs once, and those that it has besides if it is repeated."""
+        both = [word_bins(w) for w in (word, f"2{word}")]
         if self.chosen is not None:
-            bins = [self.chosen[b] for b in bins if b in self.chosen]
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        got = self.words[word] = tuple(bins)
+            both = [[self.chosen[b] for b in bins if b in self.chosen] for bins in both]
+        got = tuple(both[0]), tuple(both[1])
+        if len(word) <= LONGEST:
+            if len(self.words) > KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = got
         return got
 
     def __call__(self, text: str | None) -> set[int]:
         out: set[int] = set()
-        known = self.words
+        known = self.words.get
         for w, n in Counter(WORD.findall((text or "").lower())).items():
-            out.update(known[w] if w in known else self.of_word(w))
-            if n > 1:
-                w = f"2{w}"
-                out.update(known[w] if w in known else self.of_word(w))
+            once, more = known(w) or self.of_word(w)
+            if once:
+                out.update(once)
+            if n > 1 and more:
+                out.update(more)
         return out
 
 
-def swapped(text: str) -> str | None:
-    """The text with every identity term replaced by another of its kind; None if it names no group."""
-    hits = 0
-
-    def other(m: re.Match) -> str:
-        nonlocal hits
-        term = SWAP.get(m[0].lower())
-        hits += term is not None
-        return term or m[0]
-
-    new = WORD.sub(other, text)
-    return new if hits else None
+def counterfactuals(text: str | None) -> Iterator[tuple[str, str]]:
+    """(sentence, sentence with one identity term swapped) for each term of each sentence and each other term of its row. The
+    sentence is lower-cased; one without such terms gives none."""
+    for sentence in SENTENCE.split((text or "").lower()):
+        for m in WORD.finditer(sentence):
+            for other in OTHERS.get(m[0], ()):
+                yield sentence, sentence[: m.start()] + other + sentence[m.end() :]
 
 
 @dataclass
@@ -120,39 +147,58 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
-    """(id, text, toxic) of a bounded sample of the labels; only its ids, at most about ``rows``, are broadcast, and no text is shuffled."""
-    known = labels.select(F.col(id).alias("id"), (F.col(label) > 0).cast("int").alias("toxic")).filter("toxic is not null")
-    few = bounded_sample(known, "id", rows)
-    return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "id")
+    """(id, text, toxic) of a bounded sample of the labels, one row for each id; its ids, at most about ``rows``, are broadcast.
+
+    An id with several labels is toxic if one says so; null labels and ids don't count. Of several documents with one id
+    the text that sorts first is taken, null as empty. Only the sample's texts are shuffled.
+    """
+    known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
+    few = materialised(bounded_sample(materialised(known, "labels"), "id", rows), "sample")
+    texts = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "id")
+    return texts.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic")
 
 
-def fit(sample: DataFrame, penalty: float = 1.0, ridge: float = 1e-5) -> ToxicityModel:
+def chosen_features(data: DataFrame, toxic: int, clean: int, features: int, min_docs: int, against: bool) -> dict[int, int]:
+    """bin -> index of the features with the greatest log ratio of their shares in both classes over its standard error; with against, either way."""
+    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
+    z = (F.log(p / (toxic + 1.0)) - F.log(q / (clean + 1.0))) / F.sqrt(1 / p + 1 / q)
+    weighed = feature_counts(data).filter(F.col("pos") + F.col("neg") >= min_docs).select("bin", z.alias("z"))
+    weighed = weighed if against else weighed.filter("z > 0")
+    best = weighed.orderBy(F.abs("z").desc(), "bin").limit(features).collect()
+    return {b: i for i, b in enumerate(sorted(r["bin"] for r in best))}
+
+
+def fit(sample: DataFrame, penalty: float = 1.0, ridge: float = 1e-5, features: int = FEATURES, min_docs: int = MIN_DOCS, against: bool = False) -> ToxicityModel:
     """sample: as labelled_sample() gives it. With one class only, or none, every text scores low.
 
-    What reaches the driver is bounded: FEATURES features and, of the sample's rows, the features they have
-    among these.
+    What reaches the driver is bounded: the chosen features, of the sample's rows the ones they have among these,
+    and by which of these swapped sentences differ, with counts.
     """
     data = materialised(sample.select("id", "text", "toxic"), "labelled")
     n = {r["toxic"]: r["count"] for r in data.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicityModel()
-    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
-    telling = (F.log(p / (n[1] + 1.0)) - F.log(q / (n[0] + 1.0))) / F.sqrt(1 / p + 1 / q)  # log ratio over its standard error
-    best = feature_counts(data).filter(F.col("pos") + F.col("neg") >= MIN_DOCS).select("bin", telling.alias("z")).filter("z > 0").orderBy(F.desc("z"), "bin").limit(FEATURES).collect()
-    chosen = {r["bin"]: i for i, r in enumerate(sorted(best, key=lambda r: r["bin"]))}
-    features = Features(chosen)
+    chosen = chosen_features(data, n[1], n[0], features, min_docs, against)
+    found = Features(chosen)
 
     def rows_of(texts, toxic):
-        here, there = [], []
+        return {"x": pa.array([sorted(found(t)) for t in texts], pa.list_(pa.int32())), "y": pa.array([int(y > 0) for y in toxic], pa.int32())}
+
+    def changes(texts):
+        lost, new = [], []
         for t in texts:
-            other = swapped(t)
-            here.append(sorted(features(t)))
-            there.append(None if other is None else sorted(features(other)))
-        return {"x": pa.array(here, pa.list_(pa.int32())), "other": pa.array(there, pa.list_(pa.int32())), "y": pa.array([int(y > 0) for y in toxic], pa.int32())}
-
-    got = in_batches(data, ["text", "toxic"], rows_of, "x array<int>, other array<int>, y int").toArrow()
-    x, other, y = (got.column(c).to_pylist() for c in ("x", "other", "y"))
-    weights, bias = _descend(x, [(a, b) for a, b in zip(x, other, strict=True) if b is not None], np.array(y, dtype=float), len(chosen), penalty, ridge)
+            for here, there in counterfactuals(t):
+                a, b = found(here), found(there)
+                if a != b:
+                    lost.append(sorted(a - b))
+                    new.append(sorted(b - a))
+        return {"lost": pa.array(lost, pa.list_(pa.int32())), "new": pa.array(new, pa.list_(pa.int32()))}
+
+    got = in_batches(data, ["text", "toxic"], rows_of, "x array<int>, y int").toArrow()
+    x, y = (got.column(c).to_pylist() for c in ("x", "y"))
+    swaps = in_batches(data, ["text"], changes, "lost array<int>, new array<int>").groupBy("lost", "new").count().collect()
+    pairs = [(r["lost"], r["new"], r["count"]) for r in swaps]
+    weights, bias = _descend(x, pairs, np.array(y, dtype=float), len(chosen), penalty, ridge)
     return ToxicityModel(chosen, weights, bias)
 
 
@@ -162,12 +208,15 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _descend(x, pairs, y, width: int, penalty: float, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Adam on: weighted log loss + ridge |w|^2 + penalty * mean squared change of the logit in pairs. Classes weigh alike."""
+    """Adam on: weighted log loss + ridge |w|^2 + penalty * mean squared change of the logit by a swap. Classes weigh alike.
+    pairs: the features that a swap takes and those it brings, and how often it occurs."""
     cols, rows = _flat(x)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     a_cols, a_rows = _flat([p[0] for p in pairs])
     b_cols, b_rows = _flat([p[1] for p in pairs])
-    w, bias = np.zeros(width + 1), 0.0
+    share = np.array([p[2] for p in pairs], dtype=float)
+    share /= share.sum() or 1.0
+    w = np.zeros(width + 1)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         z = np.bincount(rows, w[cols], minlength=len(y)) + w[width]
@@ -175,16 +224,16 @@ def _descend(x, pairs, y, width: int, penalty: float, ridge: float, steps: int =
         grad = np.append(np.bincount(cols, g[rows], minlength=width), g.sum())
         grad[:width] += 2 * ridge * w[:width]
         if pairs:
-            change = 2 * penalty / len(pairs) * (np.bincount(a_rows, w[a_cols], minlength=len(pairs)) - np.bincount(b_rows, w[b_cols], minlength=len(pairs)))
+            change = 2 * penalty * share * (np.bincount(a_rows, w[a_cols], minlength=len(pairs)) - np.bincount(b_rows, w[b_cols], minlength=len(pairs)))
             grad[:width] += np.bincount(a_cols, change[a_rows], minlength=width) - np.bincount(b_cols, change[b_rows], minlength=width)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9) * (1 - step / (steps + 1))
-    bias = float(w[width])
-    return w[:width], bias
+    return w[:width], float(w[width])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id: str = "doc_id", text: str = "text", passed: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, the passed columns, score, predicted. Null and empty texts score like texts without any feature."""
+    """One row per document, repeated ones too: id, the passed columns, score, predicted. Null and empty texts score like texts
+    without any feature. Passed columns can't have the names of the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict[str, Features] = {}
 
