@@ -15,6 +15,9 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lattica.llm.common import materialised
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD = 20_000
@@ -81,24 +84,25 @@ def best_fit(docs: DataFrame, length: Column, id: str = "doc_id", capacities: Se
     """(id, piece, piece_start, n_tokens, bin_id, bin_offset, capacity): at least one row per document.
 
     A document of length zero or null has one row with n_tokens 0 and no bin. Bin ids are shard * 2**32 + number.
-    Rows with the same id are packed singly; only ids and lengths are shuffled.
+    Rows with the same id, or with none, are packed singly; only ids and lengths are shuffled. Where rows with one id
+    and length would fill a shard, all are dealt by their place in the table as well.
     """
-    sized = docs.select(F.col(id), F.coalesce(length, F.lit(0)).cast("int").alias("n"))
-    shards = max(1, -(-docs.count() // shard))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(id, "n"), F.lit(shards)))
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    sized = materialised(docs.select(F.col(id).alias("id"), F.coalesce(length, F.lit(0)).cast("int").alias("n")), "lengths")
+    shards = max(1, -(-sized.count() // shard))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards)))
+    if shards > 1 and dealt.groupBy("shard").count().filter(F.col("count") > 2 * shard).limit(1).count():
+        dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(shards)))
     kind = docs.schema[id].dataType
-    arrow = to_arrow_type(kind)
+    kinds = (to_arrow_type(kind), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    names = ("id", "piece", "piece_start", "n_tokens", "bin_id", "bin_offset", "capacity")
 
     def run(key, table):
-        table = table.sort_by([("n", "descending"), (id, "ascending")])
+        table = table.sort_by([("n", "descending"), ("id", "ascending")])
         base = key[0].as_py() << 32
         rows: list[tuple] = []
-        for i, n, pieces in zip(table[id].to_pylist(), table["n"].to_pylist(), pack(table["n"].to_pylist(), capacities), strict=True):
+        for i, n, pieces in zip(table["id"].to_pylist(), table["n"].to_pylist(), pack(table["n"].to_pylist(), capacities), strict=True):
             rows += [(i, k, at, size, base + b, offset, c) for k, (at, size, b, offset, c) in enumerate(pieces)] or [(i, 0, 0, n, None, None, None)]
-        kinds = (arrow, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        names = (id, "piece", "piece_start", "n_tokens", "bin_id", "bin_offset", "capacity")
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
 
-    return dealt.groupBy("shard").applyInArrow(run, f"`{id}` {kind.simpleString()}, piece int, piece_start int, n_tokens int, bin_id bigint, bin_offset int, capacity int")
+    packed = dealt.groupBy("shard").applyInArrow(run, f"id {kind.simpleString()}, piece int, piece_start int, n_tokens int, bin_id bigint, bin_offset int, capacity int")
+    return packed.withColumnRenamed("id", id)
