@@ -23,21 +23,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, null as empty, the one with the largest id stays; of equal rows, one."""
     return exact_dedup.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints of five-word shingles are linked, the one with the least id stays."""
+    """Of documents that pairs of 0.8 or more in Jaccard similarity of five-word shingles connect, the one with the least id
+    stays, and all without an id. Candidates come from blocks of SimHashes."""
     return simhash.drop_near(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become tags; n_chars follows the text."""
+    """Personal data become tags; n_chars follows the text. Null and empty texts stay as they are; the whole of long ones is read."""
     text = pii.redact("text")
     return docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its bin; documents without words have one row and no bin."""
     return packing.best_fit(docs, packing.word_count())
 
 
