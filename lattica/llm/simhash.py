@@ -14,7 +14,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,6 +152,11 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _digest(text: str | None) -> int:
+    """A signed 64-bit number for the sequence of words."""
+    return xxhash.xxh64_intdigest(b" ".join(_tokens(text)), SEED) - (1 << 63)
+
+
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The distinct 64-bit hashes of word shingles, sorted; a text without words has one of its own."""
     tokens = _tokens(text)
@@ -187,6 +191,16 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+#: Words of 64 bits of the parity bitmaps of shingle sets.
+PARITY = 16
+
+
+def parity_words(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap in which each shingle turns one bit over. Two bitmaps differ in no more bits than their sets do in shingles."""
+    bits = np.bincount(hashes.view(np.uint64) & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def block_plan(rows: int, similarity: float) -> tuple[int, int]:
     """(bits of a block, number of blocks).
 
@@ -235,26 +249,18 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialised(nodes.join(found, "rep", "left").select("rep", "n", "own", F.coalesce("component", "rep").alias("component")), "alike-components")
 
 
-def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component): ids of documents that pairs of at least that Jaccard similarity of word shingles connect.
+BITMAP = [f"x{i}" for i in range(PARITY)]
 
-    Similar sets have SimHashes that differ in few bits, about 15 in 100 at 0.8, too many for the blocks of a
-    64-bit fingerprint. So the fingerprints have 512 bits, documents with an equal block are candidates (see
-    block_plan() for how many pairs share none), their first 128 bits have to be near, and then the similarity of
-    their shingles is computed exactly. Equal texts are one document throughout. A document of which more than
-    1 - similarity of the shingles occur in no other candidate has no partner and goes first. Each one is compared
-    with the member of its blocks that has the fewest such shingles, and then only pairs across the components so
-    found are. Rows without an id take no part; rows with one id are one document with all their links.
-    """
-    kind = docs.schema[id].dataType.simpleString()
-    named = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("rep"), F.col(text).alias("_text"))
 
-    def prints(texts):
-        return {"digest": [xxhash.xxh64_intdigest(b" ".join(_tokens(t)), SEED) - (1 << 63) for t in texts], "wide": pa.array([wide_fingerprint(shingles(t, words)) for t in texts], pa.binary())}
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether the first 128 bits of two wide fingerprints differ in no more places than sets of that similarity make likely (3.6 standard deviations)."""
+    share = differing(similarity)
+    most = math.ceil(2 * BITS * share + 3.6 * math.sqrt(2 * BITS * share * (1 - share)))
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.gp").bitwiseXOR(F.col(f"{b}.gp"))) <= most
+
 
-    rows = materialised(in_batches(named, ["rep", "_text"], prints, f"rep {kind}, digest bigint, wide binary", passed=["rep"]), "wide")
-    distinct = materialised(rows.groupBy("digest").agg(F.min(F.struct("rep", "wide")).alias("first")).select("digest", F.col("first.rep").alias("node"), "first.wide"), "distinct")
-    same = rows.select("rep", "digest").join(distinct.select("digest", "node"), "digest").filter("rep != node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+def block_members(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep, fp, gp): the wide fingerprints, by rep and wide, that meet a near one under a block's key, or a crowd of more than CROWD."""
     places = block_places(*block_plan(distinct.count(), similarity))
 
     def keys(batches):
@@ -262,40 +268,77 @@ def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
             for at in range(0, batch.num_rows, 512):  # bounded memory
                 part = batch.slice(at, 512)
                 wide = part.column("wide").to_pylist()
-                reps = pa.compute.take(part.column("node"), np.repeat(np.arange(len(wide)), len(places)))
+                reps = np.repeat(part.column("rep").to_numpy(), len(places))
                 short = np.repeat(np.frombuffer(b"".join(w[:16] for w in wide), dtype=np.int64).reshape(-1, 2), len(places), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(block_keys(wide, places).ravel()), reps, pa.array(short[:, 0]), pa.array(short[:, 1])], names=["key", "rep", "fp", "gp"])
-
-    listed = distinct.select("node", "wide").mapInArrow(keys, f"key bigint, rep {kind}, fp bigint, gp bigint")
-    bits = 2 * BITS * differing(similarity)
-    most = math.ceil(bits + 3.6 * math.sqrt(bits * (1 - differing(similarity))))
-
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.gp").bitwiseXOR(F.col(f"{b}.gp"))) <= most
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block_keys(wide, places).ravel(), reps, short[:, 0], short[:, 1])], names=["key", "rep", "fp", "gp"])
 
+    listed = distinct.select("rep", "wide").mapInArrow(keys, "key bigint, rep bigint, fp bigint, gp bigint")
     met = materialised(listed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "met")
     few = met.filter(F.col("n") <= CROWD).drop("n")
-    beside = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.rep") != F.col("b.rep")) & near("a", "b")).select("key", "a.rep", "a.fp", "a.gp").distinct()
-    shared = materialised(beside.unionByName(met.filter(F.col("n") > CROWD).drop("n")), "shared")
-    found = named.join(_narrow(materialised(shared.select("rep").distinct(), "suspects")), "rep", "left_semi")
-    sets = materialised(in_batches(found, ["rep", "_text"], lambda texts: {"hashes": [shingles(t, words).view(np.int64).tolist() for t in texts]}, f"rep {kind}, hashes array<bigint>", passed=["rep"]), "shingles")
+    beside = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.rep") != F.col("b.rep")) & _near("a", "b", similarity)).select("key", "a.rep", "a.fp", "a.gp").distinct()
+    return materialised(beside.unionByName(met.filter(F.col("n") > CROWD).drop("n")), "shared")
+
+
+def shingle_sets(docs: DataFrame, suspects: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes, x0..): the shingle sets of the suspects, texts (rep) and a document (node) of each, with parity bitmaps."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def hashed(texts):
+        each = [shingles(t, words) for t in texts]
+        parity = np.stack([parity_words(h) for h in each])
+        return {"rep": [_digest(t) for t in texts], "hashes": [h.view(np.int64).tolist() for h in each], **{x: parity[:, i] for i, x in enumerate(BITMAP)}}
+
+    nodes = materialised(suspects.select(F.col("node").alias("id")).distinct(), "suspect-ids")
+    found = docs.join(_narrow(nodes), "id", "left_semi")
+    sets = in_batches(found, ["id", "text"], hashed, f"id {kind}, rep bigint, hashes array<bigint>, {', '.join(f'{x} bigint' for x in BITMAP)}", passed=["id"])
+    return materialised(sets.join(suspects.select("rep"), "rep", "left_semi").drop("id").dropDuplicates(["rep"]), "shingles")
+
+
+def near_links(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component): ids of documents that pairs of at least that Jaccard similarity of word shingles connect.
+
+    Similar sets have SimHashes that differ in few bits, about 15 in 100 at 0.8, too many for the blocks of a
+    64-bit fingerprint. So the fingerprints have 512 bits, texts with an equal block are candidates (see
+    block_plan() for how many pairs share none), their first 128 bits have to be near, and then the similarity of
+    their shingles is computed exactly. Equal texts are one throughout. A text of which more than 1 - similarity of
+    the shingles occur in no other candidate has no partner and goes first. Each one is compared with the member of
+    its blocks that has the fewest such shingles, and then only pairs across the components so found are, unless
+    their own shingles or their parity bitmaps show that they can't have enough in common.
+
+    Rows without an id take no part; rows with one id are one document with the links of all its texts.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    named = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
+
+    def prints(texts):
+        return {"rep": [_digest(t) for t in texts], "wide": pa.array([wide_fingerprint(shingles(t, words)) for t in texts], pa.binary())}
+
+    rows = materialised(in_batches(named, ["id", "text"], prints, f"id {kind}, rep bigint, wide binary", passed=["id"]), "wide")
+    first = rows.groupBy("rep").agg(F.min(F.struct("id", "wide")).alias("first"))
+    distinct = materialised(first.select("rep", F.col("first.id").alias("node"), "first.wide"), "distinct")
+    names = distinct.select("rep", "node")
+    same = rows.select("id", "rep").join(names, "rep").filter("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    shared = block_members(distinct, similarity)
+    sets = shingle_sets(named, materialised(names.join(shared.select("rep").distinct(), "rep"), "suspects"), words)
     single = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    nodes = sets.groupBy("rep").agg(F.min(F.size("hashes")).alias("n")).join(single, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    nodes = sets.select("rep", F.size("hashes").alias("n")).join(single, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
     nodes = materialised(nodes.filter((F.col("n") - F.col("own")) / F.col("n") >= similarity), "nodes")
     members = materialised(shared.join(nodes, "rep"), "members")
     centres = members.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), F.col("rep"), F.col("fp"), F.col("gp"))).alias("c"))
-    to_centre = members.alias("m").join(centres, "key").filter((F.col("c.rep") != F.col("m.rep")) & near("m", "c"))
+    to_centre = members.alias("m").join(centres, "key").filter((F.col("c.rep") != F.col("m.rep")) & _near("m", "c", similarity))
     links = _alike(to_centre.groupBy(F.col("m.rep").alias("b")).agg(F.min("c").alias("c")).select(F.col("c.rep").alias("a"), "b"), sets, similarity)
     nodes = _components(nodes, links)
     members = materialised(members.select("rep", "key", "fp", "gp").join(nodes, "rep"), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    members = materialised(members.join(mixed, "key"), "mixed")
-    left, right = members.alias("a"), members.alias("b")
-    most_common = F.expr("least(a.n - a.own, b.n - b.own)")  # an upper bound of what is common
+    members = materialised(members.join(mixed, "key").join(sets.select("rep", *BITMAP), "rep"), "mixed")
+    apart = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in BITMAP)
+    most_common = F.expr(f"least(a.n - a.own, b.n - b.own, floor((a.n + b.n - ({apart})) / 2))")  # an upper bound of what is common
     enough = most_common / (F.expr("a.n + b.n") - most_common) >= similarity
-    across = left.join(right, "key").filter(F.expr("a.component < b.component") & near("a", "b") & enough)
-    links = links.unionByName(_alike(across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), sets, similarity)).unionByName(same)
-    return connected_components(links)
+    across = members.alias("a").join(members.alias("b"), "key").filter(F.expr("a.component < b.component") & _near("a", "b", similarity) & enough)
+    links = links.unionByName(_alike(across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), sets, similarity))
+    ends = [names.select(F.col("rep").alias(c), F.col("node").alias(f"_{c}")) for c in ("a", "b")]
+    named_links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return connected_components(named_links.unionByName(same))
 
 
 def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
