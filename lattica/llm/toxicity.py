@@ -70,7 +70,7 @@ MIN_DOCS = 4
 FIT_ROWS = 30_000
 THRESHOLD = 0.7
 #: Words whose features a Python worker remembers, and how long they are at most.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 LONGEST = 64
 
 
@@ -80,20 +80,19 @@ def word_bins(word: str) -> list[int]:
 
 
 class Features:
-    """The bins of texts; remembers the bins of words, up to a bounded number."""
+    """The bins of texts; remembers the bins of short words, up to a bounded number."""
 
     def __init__(self, chosen: dict[int, int] | None = None):
         self.chosen = chosen
-        self.words: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
-    def of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """The bins of a word that occurs once, and those that it has besides if it is repeated."""
-        both = [word_bins(w) for w in (word, f"2{word}")]
+    def of_word(self, word: str) -> tuple[int, ...]:
+        bins = word_bins(word)
         if self.chosen is not None:
-            both = [[self.chosen[b] for b in bins if b in self.chosen] for bins in both]
-        got = tuple(both[0]), tuple(both[1])
+            bins = [self.chosen[b] for b in bins if b in self.chosen]
+        got = tuple(bins)
         if len(word) <= LONGEST:
-            if len(self.words) > KEPT_WORDS:
+            if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             self.words[word] = got
         return got
@@ -102,11 +101,12 @@ class Features:
         out: set[int] = set()
         known = self.words.get
         for w, n in Counter(WORD.findall((text or "").lower())).items():
-            once, more = known(w) or self.of_word(w)
-            if once:
-                out.update(once)
-            if n > 1 and more:
-                out.update(more)
+            for form in (w,) if n == 1 else (w, f"2{w}"):
+                bins = known(form)
+                if bins is None:
+                    bins = self.of_word(form)
+                if bins:
+                    out.update(bins)
         return out
 
 
