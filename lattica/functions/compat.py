@@ -102,25 +102,73 @@ def variance(x: Column) -> Column:
     return spread(x, F.var_samp)
 
 
-def group_concat(x: Column, separator: str = ",", order: Column | None = None) -> Column:
-    """The group's values in the order of a key (their own by default); nulls are skipped."""
-    key = x if order is None else order
-    listed = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(key.alias("k"), x.cast("string").alias("v")))))
-    return F.nullif(F.array_join(F.transform(listed, lambda s: s["v"]), separator), F.lit(""))
+def sort_keys(by) -> list[tuple[Column, bool]]:
+    """(column, descending) of one sort key or a list of them: a column, a name (a leading minus means descending) or a pair of column and descending."""
+    out = []
+    for key in by if isinstance(by, list) else [by]:
+        column, down = key if isinstance(key, tuple) else (key, False)
+        if isinstance(column, str) and column.startswith("-"):
+            column, down = column[1:], True
+        out.append((col(column), down))
+    return out
+
+
+def group_concat(x: Column, separator: str = ",", order=None) -> Column:
+    """The group's values in the order of one key or a list of them (see sort_keys(); their own order by default); nulls are
+    skipped, and the result is null only if all values are."""
+    by = sort_keys(x if order is None else order)
+    entry = F.struct(*(k.alias(f"k{i}") for i, (k, _) in enumerate(by)), x.cast("string").alias("v"))
+    held = F.collect_list(F.when(x.isNotNull(), entry))
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.when(a["v"] < b["v"], -1).when(a["v"] > b["v"], 1).otherwise(0)
+        for i, (_, down) in reversed(list(enumerate(by))):
+            p, q, late = a[f"k{i}"], b[f"k{i}"], -1 if down else 1  # nulls come last ascending and first descending
+            out = F.when(p.isNull() & q.isNull(), out).when(p.isNull(), late).when(q.isNull(), -late).when(p < q, -late).when(p > q, late).otherwise(out)
+        return out
+
+    return F.when(F.size(held) > 0, F.array_join(F.transform(F.array_sort(held, compare), lambda s: s["v"]), separator))
+
+
+def _stands_before(v, by, itself: bool = False) -> Column:
+    """Whether a row sorts before the values given for the sort keys (or, with itself, with them)."""
+    out = F.lit(itself)
+    for (key, down), one in reversed(list(zip(sort_keys(by), v if isinstance(v, list) else [v], strict=True))):
+        wanted = value(one)
+        less = F.when(key.isNull() & wanted.isNull(), False).when(key.isNull(), down).when(wanted.isNull(), not down).otherwise(key > wanted if down else key < wanted)
+        out = less | (key.eqNullSafe(wanted) & out)
+    return out
 
 
-def rank_of(v, key: Column) -> Column:
-    """RANK(v) WITHIN GROUP (ORDER BY key): where v would stand."""
-    return F.sum(F.when(key < value(v), 1).otherwise(0)) + 1
+def rank_of(v, key) -> Column:
+    """RANK(v) WITHIN GROUP (ORDER BY key): where v would stand. Several keys and their values are lists; see sort_keys() for descending ones."""
+    return F.count_if(_stands_before(v, key)) + 1
 
 
-def dense_rank_of(v, key: Column) -> Column:
-    return F.count_distinct(F.when(key < value(v), key)) + 1
+def dense_rank_of(v, key) -> Column:
+    return F.count_distinct(F.when(_stands_before(v, key), F.struct(*(k for k, _ in sort_keys(key))))) + 1
 
 
-def cume_dist_of(v, key: Column) -> Column:
+def cume_dist_of(v, key) -> Column:
     """CUME_DIST(v) WITHIN GROUP (ORDER BY key), with v counted in."""
-    return (F.sum(F.when(key <= value(v), 1).otherwise(0)) + 1) / (F.count(F.lit(1)) + 1)
+    return (F.count_if(_stands_before(v, key, itself=True)) + 1) / (F.count(F.lit(1)) + 1)
+
+
+def number(x) -> Column:
+    """A number, or the number that a text stands for; text that is none raises."""
+    return value(x).cast("decimal(38,10)")
+
+
+def arithmetic(op: str, a, b) -> Column:
+    """a op b for +, -, * or /, of numbers or of texts that stand for numbers."""
+    x, y = number(a), number(b)
+    return {"+": x + y, "-": x - y, "*": x * y, "/": x / y}[op]
+
+
+def compare(op: str, a, b) -> Column:
+    """a op b for =, <>, <, <=, > or >=, where one side may be a text that stands for a number. Two texts compare as numbers too."""
+    x, y = number(a), number(b)
+    return {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
 def nulls_for_empty(df):

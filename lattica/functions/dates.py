@@ -57,7 +57,7 @@ def months_between(a: Column, b: Column) -> Column:
 
 
 def timestampdiff(unit: str, a: Column, b: Column) -> Column:
-    """From a to b: years, quarters and months by month numbers, weeks and days by dates, the rest by time that has passed."""
+    """From a to b in whole units that have passed, toward zero: months and what is made of them by day and time of the month, the rest by elapsed time."""
     unit = unit.upper()
     if unit in ("YEAR", "QUARTER", "MONTH"):
         return _toward_zero(F.timestamp_diff("MONTH", a, b) / {"YEAR": 12, "QUARTER": 3, "MONTH": 1}[unit])

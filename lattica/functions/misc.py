@@ -20,6 +20,17 @@ def round_number(x: Column, n: int = 0) -> Column:
     return F.round(x, n)
 
 
+def number_text(x: Column, fmt: str | None = None) -> Column:
+    """TO_CHAR of a number: without a format its digits, with no zeros at the end of its fraction; else a format of 0, 9, point,
+    comma, S, MI, PR and $, without the blanks that stand for leading 9s. Text that stands for a number is one."""
+    if fmt is None:
+        text = x.cast("string")
+        return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")).otherwise(text)
+    after = fmt.upper().partition(".")[2].rstrip("SMIPR$")
+    signed = fmt if set(fmt.upper()) & set("SMP") else f"MI{fmt}"
+    return F.trim(F.to_char(x.cast(f"decimal(38,{len(after)})"), F.lit(signed)))
+
+
 def log(*args: Column) -> Column:
     """Natural for one argument; otherwise the base comes first."""
     return F.ln(args[0]) if len(args) == 1 else F.ln(value(args[1])) / F.ln(value(args[0]))

@@ -6,9 +6,10 @@ asking for one raises Unsupported rather than giving a made-up value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import compat, dates, jsonx, misc, strings
@@ -20,10 +21,15 @@ class Unsupported(NotImplementedError):
     """The function needs state that an analytics engine doesn't hold."""
 
 
+def to_char(x: Column, fmt: str | None = None) -> Column:
+    """TO_CHAR of a number or a date, told apart by the format, if any: only a number's has digits alone."""
+    return misc.number_text(x, fmt) if fmt is None or not set(fmt.upper()) - set("09.,SMIPR$ ") else dates.to_char(x, fmt)
+
+
 MATH = {
     "abs": F.abs, "acos": F.acos, "asin": F.asin, "atan": F.atan, "atan2": F.atan2, "bitand": lambda a, b: a.bitwiseAND(b), "bitor": lambda a, b: a.bitwiseOR(b),
     "bitxor": lambda a, b: a.bitwiseXOR(b), "ceil": F.ceil, "cos": F.cos, "exp": F.exp, "floor": F.floor, "ln": F.ln, "log": misc.log, "mod": compat.mod, "pi": F.pi,
-    "power": F.power, "radians": F.radians, "rand": misc.rand, "round": misc.round_number, "sign": F.signum, "sin": F.sin, "sqrt": F.sqrt, "tan": F.tan, "tanh": F.tanh, "trunc": misc.trunc_number,
+    "power": F.power, "radians": F.radians, "rand": misc.rand, "round": lambda x, n=0: dates.round_date(x, n) if isinstance(n, str) else misc.round_number(x, n), "sign": F.signum, "sin": F.sin, "sqrt": F.sqrt, "tan": F.tan, "tanh": F.tanh, "trunc": lambda x, n=0: dates.trunc(x, n) if isinstance(n, str) else misc.trunc_number(x, n),
 }
 STRING = {
     "ascii": F.ascii, "asciistr": strings.asciistr, "char": F.char, "char_length": F.char_length, "chr": F.char, "concat": compat.cat, "concat_ws": F.concat_ws, "find_in_set": strings.find_in_set,
@@ -42,8 +48,8 @@ DATE = {
 }
 CONVERSION = {
     "bin2hex": misc.bin2hex, "cast": lambda x, kind: x.cast(kind), "convert": lambda x, kind: x.cast(kind), "empty_blob": lambda: F.lit(b""), "empty_clob": lambda: F.lit(""), "hex": F.hex, "hex2bin": F.unhex,
-    "hextoraw": F.unhex, "inet_aton": misc.inet_aton, "inet_ntoa": misc.inet_ntoa, "rawtohex": F.hex, "to_blob": lambda x: x.cast("binary"), "to_char": dates.to_char, "to_clob": lambda x: x.cast("string"),
-    "to_date": dates.to_date, "to_nchar": dates.to_char, "to_number": misc.to_number, "to_timestamp": dates.to_timestamp, "unhex": F.unhex,
+    "hextoraw": F.unhex, "inet_aton": misc.inet_aton, "inet_ntoa": misc.inet_ntoa, "rawtohex": F.hex, "to_blob": lambda x: x.cast("binary"), "to_char": lambda x, fmt=None: to_char(x, fmt), "to_clob": lambda x: x.cast("string"),
+    "to_date": dates.to_date, "to_nchar": lambda x, fmt=None: to_char(x, fmt), "to_number": misc.to_number, "to_timestamp": dates.to_timestamp, "unhex": F.unhex,
 }
 CONDITIONAL = {
     "coalesce": F.coalesce, "decode": compat.decode, "greatest": compat.greatest, "if": lambda c, a, b: F.when(c, a).otherwise(b), "ifnull": compat.nvl, "least": compat.least, "lnnvl": compat.lnnvl,
@@ -73,8 +79,32 @@ UNSUPPORTED = frozenset(
 FUNCTIONS: dict[str, Callable[..., Column]] = {**MATH, **STRING, **REGEX, **DATE, **CONVERSION, **CONDITIONAL, **JSON, **AGGREGATE, **MISC}
 
 
-def dialect(name: str) -> Callable[..., Column]:
-    key = name.lower()
+#: What the names that take numbers and dates do with a date.
+OF_DATES = {"round": dates.round_date, "trunc": dates.trunc, "to_char": dates.to_char, "to_nchar": dates.to_char}
+ALIASES: dict[str, str] = {}
+
+
+@contextmanager
+def aliases(names: Mapping[str, str]) -> Iterator[None]:
+    """Other names for functions, as a configuration lists them: name -> the dialect's name. They hold inside of the with block."""
+    added = {k.lower(): v.lower() for k, v in names.items()}
+    if clash := [k for k in added if k in FUNCTIONS]:
+        raise ValueError(f"{clash[0]} is a function's own name")
+    before = dict(ALIASES)
+    ALIASES.update(added)
+    try:
+        yield
+    finally:
+        ALIASES.clear()
+        ALIASES.update(before)
+
+
+def dialect(name: str, df: DataFrame | None = None) -> Callable[..., Column]:
+    """The builder of a function. ROUND, TRUNC and TO_CHAR go by their argument's type in df, if that is given, and else by
+    their format: without one they take a number."""
+    key = ALIASES.get(name.lower(), name.lower())
+    if df is not None and key in OF_DATES:
+        return lambda x, *rest: (OF_DATES[key] if df.select(x).schema[0].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else FUNCTIONS[key])(x, *rest)
     if key in FUNCTIONS:
         return FUNCTIONS[key]
     if key in ELSEWHERE:

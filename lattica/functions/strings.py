@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,27 +116,15 @@ def regexp_substr(s: Column, p: str, start: int = 1, nth: int = 1, flags: str =
 
 
 def regexp_instr(s: Column, p: str, start: int = 1, nth: int = 1, after: int = 0, flags: str = "") -> Column:
-    """The position of the nth match, or behind it if after is 1; zero if there is none."""
-
-    @F.pandas_udf("int")
-    def found(texts: pd.Series) -> pd.Series:
-        want = re.compile(p, (re.I if "i" in flags else 0) | (re.S if "n" in flags else 0) | (re.M if "m" in flags else 0) | (re.X if "x" in flags else 0))
-
-        def one(t):
-            if t is None:
-                return None
-            for k, m in enumerate(want.finditer(t, start - 1), 1):
-                if k == nth:
-                    return (m.end() if after else m.start()) + 1
-            return 0
-
-        return texts.map(one)
-
-    if start == 1 and nth == 1 and not after:
-        hit = F.regexp_substr(s, F.lit(pattern(p, flags)))
-        parts = F.split(s, pattern(p, flags), 2)
-        return F.when(s.isNull(), None).when(hit.isNull(), 0).otherwise(F.char_length(parts[0]) + 1).cast("int")
-    return found(s)
+    """The position of the nth match, or behind it if after is 1; zero if there is none. A pattern has to match one character or more."""
+    tail = F.substring(s, F.lit(start), F.char_length(s))
+    hits, between = F.regexp_extract_all(tail, F.lit(pattern(p, flags)), 0), F.split(tail, pattern(p, flags), -1)
+
+    def length(parts: Column, n: int) -> Column:
+        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
+
+    at = length(between, nth) + length(hits, nth if after else nth - 1) + start
+    return F.when(s.isNull(), None).when(F.size(hits) < nth, 0).otherwise(at).cast("int")
 
 
 def regexp_replace(s: Column, p: str, new: str = "", start: int = 1, nth: int = 0, flags: str = "") -> Column:

@@ -37,15 +37,23 @@ def rownum_at_most(df: DataFrame, n: int) -> DataFrame:
     return df.limit(max(0, n))
 
 
+def with_found_rows(df: DataFrame, page: DataFrame, name: str = "found_rows") -> DataFrame:
+    """page, rows of df behind a limit, with how many df has: FOUND_ROWS. The count is one row, which is broadcast."""
+    return page.join(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))
+
+
 def with_rownum(df: DataFrame, *by: str | Column, name: str = "rownum") -> DataFrame:
-    """A gap-free row number over the whole result in the order of the keys, without one task holding all rows.
+    """A gap-free row number over the whole result in the order of the keys, or without keys in the order in which its
+    partitions have the rows, without one task holding all rows.
 
     Rows are range-partitioned, numbered within their partitions and written once, so that partitions are the
     same ones for the second step, which adds the number of rows in earlier partitions: one small row for each.
-    Keys should decide the order: rows that tie are numbered as they come.
+    Rows that tie are dealt by a hash of their columns, so that a key that many rows share is no single partition.
     """
-    order = keys(*by)
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    order = [*keys(*by), F.xxhash64(*hashed)] if by else []
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if by else df
+    dealt = dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
     held = materialised(dealt, "rownum")
     counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -72,23 +80,7 @@ def listagg_over(x: Column, partition: Sequence[str], separator: str = "") -> Co
 
 
 def moving_sum(df: DataFrame, partition: Sequence[str], by: str, start: Column, end: Column, x: str, name: str) -> DataFrame:
-    """SUM over a ROWS frame whose bounds are expressions of the row: from start rows before to end rows after it.
+    """SUM over a ROWS frame whose bounds are expressions of the row: see frames.moving()."""
+    from lattica.operators.frames import moving
 
-    A frame's sum is the difference of two running sums, which are looked up by row number; work doesn't grow
-    with the frames. Keys of partition and order should decide the order.
-    """
-    spec = over(partition, by)
-    value = F.coalesce(F.col(x), F.lit(0)).cast("double")
-    base = df.select("*", F.row_number().over(spec).alias("_rn"), F.sum(value).over(spec.rowsBetween(W.unboundedPreceding, 0)).alias("_run"), F.count(F.lit(1)).over(W.partitionBy(*partition)).alias("_n"))
-    base = materialised(base.withColumns({"_hi": F.least(F.col("_rn") + end, F.col("_n")).cast("int"), "_lo": (F.greatest(F.col("_rn") - start, F.lit(1)) - 1).cast("int")}), "frames")
-
-    def looked_up(rows: DataFrame, place: str, run: str) -> DataFrame:
-        runs = base.select(*(F.col(k).alias(f"{place}{k}") for k in partition), F.col("_rn").alias(f"{place}_rn"), F.col("_run").alias(run))
-        same = F.col(place) == F.col(f"{place}_rn")
-        for k in partition:
-            same = same & F.col(k).eqNullSafe(F.col(f"{place}{k}"))
-        return rows.join(runs, same, "left")
-
-    out = looked_up(looked_up(base, "_hi", "_upto"), "_lo", "_before")
-    total = F.when(F.col("_hi") > F.col("_lo"), F.coalesce("_upto", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0)))
-    return out.select(*df.columns, total.alias(name))
+    return moving(df, partition, by, start, end, {name: ("sum", x)})

@@ -30,7 +30,7 @@ def query(sql: str | None = None, **kinds: str) -> Callable[[Query], Query]:
 
 
 def _fill() -> None:
-    from lattica.plans import changing, functional, library, relational  # noqa: F401
+    from lattica.plans import changing, dialect, functional, library, relational  # noqa: F401
 
 
 _fill()
