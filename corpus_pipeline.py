@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import exact_dedup, packing, pii, simhash, toxicity
 from lattica.llm.common import fold, materialised, table
+from lattica.sources import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's output stays only until the next one is written, and its scratch tables go with it."""
+    docs, start = table(spark, sf_dir, "documents"), scratch.mark()
     for name, stage in STAGES:
         docs = materialised(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.clear_since(spark, start)
     return docs
