@@ -252,11 +252,15 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 BITMAP = [f"x{i}" for i in range(PARITY)]
 
 
-def _near(a: str, b: str, similarity: float) -> Column:
-    """Whether the first 128 bits of two wide fingerprints differ in no more places than sets of that similarity make likely (3.6 standard deviations)."""
+def _most_bits(similarity: float) -> int:
+    """In how many of 128 bits sets of that similarity may differ: the mean and 3.6 standard deviations."""
     share = differing(similarity)
-    most = math.ceil(2 * BITS * share + 3.6 * math.sqrt(2 * BITS * share * (1 - share)))
-    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.gp").bitwiseXOR(F.col(f"{b}.gp"))) <= most
+    return math.ceil(2 * BITS * share + 3.6 * math.sqrt(2 * BITS * share * (1 - share)))
+
+
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether the first 128 bits of two wide fingerprints differ in no more places than sets of that similarity make likely."""
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.gp").bitwiseXOR(F.col(f"{b}.gp"))) <= _most_bits(similarity)
 
 
 def block_members(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -272,11 +276,41 @@ def block_members(distinct: DataFrame, similarity: float) -> DataFrame:
                 short = np.repeat(np.frombuffer(b"".join(w[:16] for w in wide), dtype=np.int64).reshape(-1, 2), len(places), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block_keys(wide, places).ravel(), reps, short[:, 0], short[:, 1])], names=["key", "rep", "fp", "gp"])
 
-    listed = distinct.select("rep", "wide").mapInArrow(keys, "key bigint, rep bigint, fp bigint, gp bigint")
-    met = materialised(listed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "met")
-    few = met.filter(F.col("n") <= CROWD).drop("n")
-    beside = few.alias("a").join(few.alias("b"), "key").filter((F.col("a.rep") != F.col("b.rep")) & _near("a", "b", similarity)).select("key", "a.rep", "a.fp", "a.gp").distinct()
-    return materialised(beside.unionByName(met.filter(F.col("n") > CROWD).drop("n")), "shared")
+    most = _most_bits(similarity)
+
+    def chosen(part: list[np.ndarray], crowd: int | None) -> pa.RecordBatch:
+        """Those rows, sorted by key, that are under a key with more than CROWD, or near another one under theirs."""
+        key, fp, gp = part[0], part[2].view(np.uint64), part[3].view(np.uint64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
+        met = size > CROWD if crowd is None else (size > CROWD) | (key == crowd)
+        alive, step = np.flatnonzero(~met), 1
+        while len(alive := alive[alive + step < len(key)]) and len(alive := alive[key[alive] == key[alive + step]]):
+            there = alive + step
+            hit = np.bitwise_count(fp[alive] ^ fp[there]).astype(np.int64) + np.bitwise_count(gp[alive] ^ gp[there]) <= most
+            met[alive[hit]] = met[there[hit]] = True
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(c[met]) for c in part], names=["key", "rep", "fp", "gp"])
+
+    def beside(batches):
+        held, crowd = None, None  # the rows of the last key so far, or the key whose rows were too many to hold
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            part = part if held is None else [np.concatenate(pair) for pair in zip(held, part, strict=True)]
+            last = int(np.searchsorted(part[0], part[0][-1]))
+            whole = len(part[0]) - last > CROWD or part[0][-1] == crowd
+            held = None if whole else [c[last:] for c in part]
+            if whole or last:
+                yield chosen(part if whole else [c[:last] for c in part], crowd)
+            crowd = int(part[0][-1]) if whole else None
+        if held is not None:
+            yield chosen(held, crowd)
+
+    schema = "key bigint, rep bigint, fp bigint, gp bigint"
+    listed = distinct.select("rep", "wide").mapInArrow(keys, schema)
+    return materialised(listed.repartition("key").sortWithinPartitions("key").mapInArrow(beside, schema), "shared")
 
 
 def shingle_sets(docs: DataFrame, suspects: DataFrame, words: int) -> DataFrame:
