@@ -45,13 +45,18 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def difference(df, con, sql: str) -> str:
-    """What differs, or an empty string."""
+def difference(df, con, sql: str, ordered: bool = False) -> str:
+    """What differs, or an empty string. ordered: rows are compared in their order, columns by name."""
     found = con.execute(sql)
     columns = [d[0] for d in found.description]
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(columns)}"
-    want, got = rows_of(columns, found.fetchall()), rows_of(df.columns, df.collect())
+    there, here = found.fetchall(), df.collect()
+    if ordered:
+        for at, (a, b) in enumerate(zip(here, there, strict=False)):
+            if rows_of(df.columns, [a]) != rows_of(columns, [b]):
+                return f"row {at}: {a} and {b}"
+    want, got = rows_of(columns, there), rows_of(df.columns, here)
     if want == got:
         return ""
     return f"{sum(got.values())} and {sum(want.values())} rows; only here {list((got - want).items())[:3]}; only there {list((want - got).items())[:3]}"
