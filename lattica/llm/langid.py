@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting is a Spark aggregation over a bounded sample of labelled rows; the matrix of log-probabilities
-(``BINS`` rows, one column per language) is broadcast. The texts of an Arrow batch are scored together: their
-n-grams stand one after another as (text, bin) entries, whose matrix rows are added up text by text in numpy.
+(``BINS`` rows, one column per language) is broadcast. The texts of an Arrow batch are scored together: the bins of their
+n-grams stand one after another, and the matrix's values for them are added up text by text in numpy.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ EVIDENCE = 60.0
 PIECE = 1 << 19
 
 
-def entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, bin) of every n-gram of the lower-cased texts, in parts of about PIECE code points; ASCII other than letters counts as a space.
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(text numbers, starts, bins for each order) of the n-grams of the lower-cased texts, in parts of about PIECE code points;
+    ASCII other than letters counts as a space.
 
-    Texts follow each other, and a part starts with the last code points of the one before, so that no n-gram
-    is lost or counted twice at a border; none reaches from one text into the next.
+    Stretches of texts follow each other: which text each is of and where it starts. There is a bin for each code point,
+    or BINS where no n-gram of the stretch starts. A stretch that goes on with a text starts with the last code
+    points of the one before, so that no n-gram is lost or counted twice at a border; none reaches into the next text.
     """
     longest = max(ORDERS)
     held, size = [], 0
@@ -48,34 +50,35 @@ def entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _hashed(held)
 
 
-def _hashed(parts: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(p) for _, _, p in parts]
+def _hashed(parts: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    ends = np.cumsum([len(p) for _, _, p in parts])
+    starts = np.r_[0, ends[:-1]]
     points = np.concatenate([p for _, _, p in parts])
-    points = np.where((points >= 97) & (points <= 122) | (points >= 0xAA), points, 32).astype(np.uint32)
-    owner = np.repeat([i for i, _, _ in parts], sizes)
-    first = np.cumsum([0, *sizes[:-1]])
-    left = np.repeat(first + sizes, sizes) - np.arange(len(points))  # code points of the same part from here on
-    place = np.arange(len(points)) - np.repeat(first, sizes)
-    lead = np.repeat([k for _, k, _ in parts], sizes)
-    owners, bins = [], []
+    points = np.where((points >= 97) & (points <= 122) | (points >= 0xAA), points, np.uint32(32))
+    bins = []
     for n in ORDERS:
-        if len(points) < n:
-            break
-        h = np.full(len(points) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
-        for i in range(n):
-            h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint32(0x01000193)
+        out = np.full(len(points), BINS, dtype=np.int64)
+        whole = max(0, len(points) - n + 1)
+        h = np.full(whole, n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+        for i in range(n if whole else 0):
+            h = (h ^ points[i : whole + i]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
-        whole = (left[: len(h)] >= n) & (place[: len(h)] + n > lead[: len(h)])  # ends behind what the part before had
-        owners.append(owner[: len(h)][whole])
-        bins.append((h & np.uint32(BINS - 1))[whole])
-    return np.concatenate(owners), np.concatenate(bins)
+        out[:whole] = h & np.uint32(BINS - 1)
+        for k in range(1, n):  # what would reach into the next stretch
+            out[np.maximum(ends - k, starts)[ends - k >= starts]] = BINS
+        for (_, lead, _), start in zip(parts, starts.tolist(), strict=True):
+            if lead >= n:  # what the stretch before had
+                out[start : start + lead - n + 1] = BINS
+        bins.append(out)
+    return np.array([i for i, _, _ in parts]), starts, bins
 
 
 def ngram_counts(texts: list[str]) -> np.ndarray:
     """How often each bin occurs in the texts."""
     total = np.zeros(BINS, dtype=np.int64)
-    for _, bins in entries(texts):
-        total += np.bincount(bins, minlength=BINS)
+    for _, _, orders in grams(texts):
+        for bins in orders:
+            total += np.bincount(bins, minlength=BINS + 1)[:BINS]
     return total
 
 
@@ -86,18 +89,19 @@ class LanguageModel:
     prior: np.ndarray
 
     def columns(self) -> np.ndarray:
-        """The weights of one language after the other."""
+        """The weights of one language after the other, with a zero for what is no n-gram."""
         if not hasattr(self, "_columns"):
-            self._columns = np.ascontiguousarray(self.weights.T)
+            self._columns = np.ascontiguousarray(np.vstack([self.weights, np.zeros((1, len(self.languages)))]).T)
         return self._columns
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The log-likelihood of each text in each language, and its number of n-grams."""
         logs, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
-        for owners, bins in entries(texts):
-            n += np.bincount(owners, minlength=len(texts))
-            for k, column in enumerate(self.columns()):
-                logs[:, k] += np.bincount(owners, column[bins], minlength=len(texts))
+        for owners, starts, orders in grams(texts):
+            for bins in orders:
+                np.add.at(n, owners, np.add.reduceat((bins < BINS).astype(np.int64), starts))
+                for k, column in enumerate(self.columns()):
+                    np.add.at(logs[:, k], owners, np.add.reduceat(column[bins], starts))
         return logs, n
 
     def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
