@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lattica.llm.common import in_batches
 
 #: What a Python worker keeps of runs, words and their encodings, in characters; beyond, it starts anew. Longer runs than LONGEST aren't kept.
-KEPT_CHARS = 20_000_000
+KEPT_CHARS = 45_000_000
 LONGEST = 64
 #: Characters whose words are gathered before they are encoded together.
 GATHER = 1_000_000
@@ -173,7 +173,7 @@ class PairVocabulary:
 
     def pieces(self, chunk: str) -> list[str]:
         """The words that a run without white space falls into, normalised."""
-        chunk = lowered(unicodedata.normalize("NFC", chunk))
+        chunk = chunk.lower() if chunk.isascii() else lowered(unicodedata.normalize("NFC", chunk))
         return [chunk] if chunk.isalpha() else pieces_pattern().findall(chunk)
 
 
@@ -219,13 +219,16 @@ class Encoder:
                 self.words[w] = words[w]
                 self.held += len(w) + len(words[w][0]) + len(words[w][1])
         for c, ws in split.items():
-            parts = [words.get(w) or self.words[w] for w in ws]
-            self.ids[c] = " ".join([p[0] for p in parts])
-            self.tokens[c] = " ".join([p[1] for p in parts])
+            if len(ws) == 1:
+                ids, tokens = words.get(ws[0]) or self.words[ws[0]]
+            else:
+                parts = [words.get(w) or self.words[w] for w in ws]
+                ids, tokens = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+            self.ids[c], self.tokens[c] = ids, tokens
             if len(c) > LONGEST:
                 self.passing.append(c)
             else:
-                self.held += len(c) + len(self.ids[c]) + len(self.tokens[c])
+                self.held += len(c) + len(ids) + len(tokens)
 
     def runs(self, text: str | None) -> list[str]:
         """The runs of a text without white space, and its special tokens, which are looked for in the text as it is."""
