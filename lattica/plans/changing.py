@@ -43,6 +43,18 @@ def connect_by_filtered(spark, sf_dir):
     return hierarchy.connect_by(p, "id", "parent", p.id == "r1").filter("id <> 'n1'").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT 'r' AS kind, r_regionkey::BIGINT AS num, NULL AS up_kind, NULL::BIGINT AS up_num FROM region UNION ALL SELECT 'n', n_nationkey, 'r', n_regionkey FROM nation UNION ALL SELECT 's', s_suppkey, 'n', s_nationkey FROM supplier),
+    tree AS (SELECT kind, num, 1 AS level FROM p WHERE up_kind IS NULL UNION ALL SELECT p.kind, p.num, t.level + 1 FROM p JOIN tree t ON p.up_kind = t.kind AND p.up_num = t.num AND p.num > t.num) SELECT kind, num, level FROM tree""")
+def connect_by_two_keys(spark, sf_dir):
+    """CONNECT BY PRIOR kind = up_kind AND PRIOR num = up_num AND num > PRIOR num."""
+    none = F.lit(None)
+    r = load(spark, sf_dir, "region").select(F.lit("r").alias("kind"), F.col("r_regionkey").cast("long").alias("num"), none.cast("string").alias("up_kind"), none.cast("long").alias("up_num"))
+    n = load(spark, sf_dir, "nation").select(F.lit("n"), F.col("n_nationkey").cast("long"), F.lit("r"), F.col("n_regionkey").cast("long"))
+    s = load(spark, sf_dir, "supplier").select(F.lit("s"), F.col("s_suppkey").cast("long"), F.lit("n"), F.col("s_nationkey").cast("long"))
+    tree = hierarchy.connect_by(r.unionAll(n).unionAll(s), ["kind", "num"], ["up_kind", "up_num"], F.col("up_kind").isNull(), path_of="num", also=lambda prior, child: child("num") > prior("num"))
+    return tree.select("kind", "num", "level")
+
+
 @query("""WITH RECURSIVE ring AS (SELECT r_regionkey AS id, (r_regionkey + 4) % 5 AS parent FROM region),
     walk AS (SELECT id, 1 AS level, [id] AS ids FROM ring WHERE id = 0 UNION ALL SELECT r.id, w.level + 1, list_append(w.ids, r.id) FROM walk w JOIN ring r ON r.parent = w.id WHERE NOT list_contains(w.ids, r.id))
     SELECT w.id, w.level, max(CASE WHEN list_contains(w.ids, r.id) THEN 1 ELSE 0 END) AS iscycle FROM walk w LEFT JOIN ring r ON r.parent = w.id GROUP BY w.id, w.level""")
