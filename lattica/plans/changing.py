@@ -129,6 +129,20 @@ def flashback_as_of(spark, sf_dir):
     return tables.as_of(load(spark, sf_dir, "orders"), at, "o_orderdate").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("latest"))
 
 
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1996-01-01'")
+def flashback_validity(spark, sf_dir):
+    """Rows that say until when they hold."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").withColumn("until", F.col("o_orderdate") + F.expr("INTERVAL 30 DAY"))
+    return tables.as_of(o, F.lit("1996-01-01").cast("timestamp_ntz"), "o_orderdate", "until").select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def export_import(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    tables.export(load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return spark.read.parquet(path)
+
+
 @query("SELECT n_nationkey, 'X' AS DUMMY FROM nation")
 def dual_row(spark, sf_dir):
     return load(spark, sf_dir, "nation").join(F.broadcast(tables.dual(spark))).select("n_nationkey", "DUMMY")

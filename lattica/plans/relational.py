@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions import compat
 from lattica.operators import grouping, joins, ordering, setops
 from lattica.plans.catalogue import query
+from lattica.sources.scratch import materialised
 from lattica.sources.tables import load
 
 
@@ -327,7 +328,7 @@ def except_all(spark, sf_dir):
 
 @query("""WITH per AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT a.o_custkey, round(a.total, 2) AS total FROM per a WHERE a.total > (SELECT 2 * avg(total) FROM per)""")
 def with_factor_reused(spark, sf_dir):
-    per = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    per = materialised(load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")), "factor")
     mean = F.broadcast(per.agg((2 * F.avg("total")).alias("bar")))
     return per.join(mean, F.col("total") > F.col("bar")).select("o_custkey", F.round("total", 2).alias("total"))
 
