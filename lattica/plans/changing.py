@@ -123,6 +123,26 @@ def range_partitions(spark, sf_dir):
     return tables.range_partition(load(spark, sf_dir, "part"), "p_size", [("p1", 10), ("p2", 30), ("pmax", None)]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+PRICES = [("low", 50000.0), ("mid", 150000.0), ("high", None)]
+
+
+@query("""SELECT 'mid' AS part, CASE WHEN o_orderstatus IN ('F', 'P') THEN 'begun' ELSE 'rest' END AS sub, o_orderkey FROM orders WHERE o_totalprice >= 50000 AND o_totalprice < 150000""")
+def sub_partitions(spark, sf_dir):
+    """A table by RANGE and LIST partitions, and the one for a price of 99999."""
+    path = scratch_path(spark, "sub")
+    o = tables.list_partition(tables.range_partition(load(spark, sf_dir, "orders"), "o_totalprice", PRICES), "o_orderstatus", {"begun": ["F", "P"], "rest": None}, "sub")
+    tables.create_as(o.select("o_orderkey", "part", "sub"), path, ["part", "sub"])
+    return tables.partition_for(spark, path, 99999.0, PRICES).select("part", "sub", "o_orderkey")
+
+
+@query("SELECT count(*) AS n, 8 AS parts, count(DISTINCT o_custkey) AS keys FROM orders")
+def hash_partitions(spark, sf_dir):
+    """All rows in eight partitions, and each key in one."""
+    o = tables.hash_partition(load(spark, sf_dir, "orders"), "o_custkey", 8)
+    each = o.groupBy("part", "o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.sum("n").alias("n"), F.count_distinct("part").cast("int").alias("parts"), F.count(F.lit(1)).alias("keys"))
+
+
 @query("SELECT count(*) AS n, max(o_orderdate) AS latest FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
 def flashback_as_of(spark, sf_dir):
     at = F.lit("1996-01-01").cast("timestamp")

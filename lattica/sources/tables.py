@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,11 +67,31 @@ def range_partition(df: DataFrame, column: str, bounds: Sequence[tuple[str, obje
     return df.withColumn(name, out)
 
 
+def list_partition(df: DataFrame, column: str, lists: Mapping[str, Sequence | None], name: str = "part") -> DataFrame:
+    """The partition key of LIST partitions: the name whose list holds the value; None is DEFAULT. A value in none has no partition."""
+    out = next((F.lit(label) for label, values in lists.items() if values is None), F.lit(None).cast("string"))
+    for label, values in lists.items():
+        if values is not None:
+            out = F.when(F.col(column).isin(list(values)), F.lit(label)).otherwise(out)
+    return df.withColumn(name, out)
+
+
+def hash_partition(df: DataFrame, column: str, count: int, name: str = "part") -> DataFrame:
+    """The partition key of HASH partitions, p0 to p(count - 1); the hash is Spark's."""
+    return df.withColumn(name, F.concat(F.lit("p"), F.pmod(F.xxhash64(column), F.lit(count)).cast("string")))
+
+
 def partition(spark: SparkSession, path: str, name: str, key: str = "part") -> DataFrame:
-    """One partition, PARTITION (name): the filter is on the directory."""
+    """One partition, PARTITION (name): the filter is on the directory. Sub-partitions are a second key of create_as()."""
     return spark.read.parquet(path).filter(F.col(key) == name)
 
 
+def partition_for(spark: SparkSession, path: str, value, bounds: Sequence[tuple[str, object]], key: str = "part") -> DataFrame:
+    """PARTITION FOR (value): the RANGE partition that the value falls into; no rows if it falls into none."""
+    label = next((name for name, bound in bounds if bound is None or value < bound), None)
+    return partition(spark, path, label, key) if label is not None else spark.read.parquet(path).limit(0)
+
+
 def remote(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of another database, as through a link."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
