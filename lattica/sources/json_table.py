@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lattica.functions import jsonx
 
 
-def json_table(df: DataFrame, json: str, row_path: str, columns: Mapping[str, tuple[str, str]], outer: bool = False, ordinality: str | None = None) -> DataFrame:
+def json_table(df: DataFrame, json: str, row_path: str, columns: Mapping[str, tuple[str, str]], outer: bool = False, ordinality: str | None = None, on_error: str = "null") -> DataFrame:
     """COLUMNS as name -> (kind, path): kind is a type, "exists" or "query". A row_path that ends in [*] gives a row for
-    each element, any other one row; outer keeps rows of df that give none."""
+    each element, any other one row; outer keeps rows of df that give none. NESTED PATH is a second call over a "query"
+    column. on_error is "null" or "error", for values that aren't what their column asks for."""
     steps = jsonx.steps(row_path)
     if steps and steps[-1] == "*":
         found = F.get_json_object(F.col(json), row_path[: row_path.rindex("[")])
@@ -29,7 +30,9 @@ def json_table(df: DataFrame, json: str, row_path: str, columns: Mapping[str, tu
             return jsonx.json_exists(item, path).cast("int")
         if kind == "query":
             return jsonx.json_query(item, path)
-        return item.try_cast(kind) if path == "$" else jsonx.json_value(item, path, kind)
+        if path == "$":
+            return item.cast(kind) if on_error == "error" else item.try_cast(kind)
+        return jsonx.json_value(item, path, kind, on_error=on_error, on_empty="null")
 
     out = rows.withColumns({n: made(k, p) for n, (k, p) in columns.items()})
     return (out.withColumn(ordinality, F.col("_pos") + 1) if ordinality else out).drop("_pos", "_item")

@@ -10,6 +10,7 @@ from lattica.functions import compat, misc
 from lattica.functions.registry import Unsupported, aliases, dialect
 from lattica.operators import dml, frames, hierarchy, joins, ordering
 from lattica.sources import scratch
+from lattica.sources.json_table import json_table
 
 
 def one(spark, *columns):
@@ -145,6 +146,16 @@ def test_aliases_hold_inside_only(spark):
         dialect("get_lock")
 
 
+def test_json_table_on_error(spark):
+    docs = spark.createDataFrame([('{"l": [{"v": 1}, {"v": [2]}, {}]}',)], "doc string")
+    got = json_table(docs, "doc", "$.l[*]", {"v": ("int", "$.v")})
+    assert [r.v for r in got.collect()] == [1, None, None]
+    with pytest.raises(Exception, match="no scalar"):
+        json_table(docs, "doc", "$.l[*]", {"v": ("int", "$.v")}, on_error="error").collect()
+    fine = spark.createDataFrame([('{"l": [{"v": 1}, {}]}',)], "doc string")
+    assert [r.v for r in json_table(fine, "doc", "$.l[*]", {"v": ("int", "$.v")}, on_error="error").collect()] == [1, None]
+
+
 def test_positions_of_matches(spark):
     at = dialect("regexp_instr")
     got = one(spark, *(at(F.lit("ab12cd345"), "[0-9]+", *rest).alias(f"x{i}") for i, rest in enumerate([(), (1, 2), (1, 2, 1), (4,), (1, 3), (1, 1, 1)])))
