@@ -3,6 +3,8 @@
 A frame is cut into blocks of 1, 2, 4, ... rows, of which it has at most two of each size. The aggregates of
 all blocks up to the longest frame's size are made once and joined to the frames, so work grows with the
 logarithm of the frames and sums are made by adding only: no difference of running totals loses digits.
+Both sides of its joins grow with the rows, which the size of a well-compressed scratch file doesn't show: they are
+merge joins by a hint, so that no side goes through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def moving(df: DataFrame, partition: Sequence[str], by: str | Sequence[str], sta
     )
     base = materialised(numbered, "frames")
     if frame == "range":
-        base = materialised(base.join(_range_bounds(base), ["_g", "_rn"], "left"), "bounds")
+        base = materialised(base.join(_range_bounds(base).hint("merge"), ["_g", "_rn"], "left"), "bounds")
     else:
         base = base.withColumns({"_lo": F.greatest(F.col("_rn") - F.col("_start"), F.lit(0)), "_hi": F.least(F.col("_rn") + F.col("_end") + 1, F.col("_n"))})
         base = base.withColumns({c: F.when(F.col("_start").isNotNull() & F.col("_end").isNotNull(), F.col(c)) for c in ("_lo", "_hi")})
@@ -76,13 +78,13 @@ def moving(df: DataFrame, partition: Sequence[str], by: str | Sequence[str], sta
     sums = {i: F.sum(f"_x{i}").alias(f"s{i}") for i, c in enumerate(columns) if any(kind in ("sum", "avg") and of == c for kind, of in aggregates.values())}
     blocks = parts.groupBy("_g", "k", "b").agg(*made, *sums.values())
     wanted = base.select("_g", "_rn", F.explode(_blocks(F.col("_lo"), F.col("_hi"), levels)).alias("block")).select("_g", "_rn", "block.k", "block.b")
-    found = wanted.join(blocks, ["_g", "k", "b"]).groupBy("_g", "_rn")
+    found = wanted.join(blocks.hint("merge"), ["_g", "k", "b"]).groupBy("_g", "_rn")
     total = []
     for name, (kind, column) in aggregates.items():
         i = columns.index(column)
         value = {"sum": lambda i=i: F.sum(f"s{i}"), "count": lambda i=i: F.sum(f"n{i}"), "avg": lambda i=i: F.sum(f"s{i}").cast("double") / F.nullif(F.sum(f"n{i}"), F.lit(0)), "min": lambda i=i: F.min(f"lo{i}"), "max": lambda i=i: F.max(f"hi{i}")}[kind]()
         total.append(value.alias(name))
-    out = base.join(found.agg(*total), ["_g", "_rn"], "left")
+    out = base.join(found.agg(*total).hint("merge"), ["_g", "_rn"], "left")
     return out.select("_doc.*", *(F.coalesce(F.col(n), F.lit(0)).alias(n) if kind == "count" else F.col(n) for n, (kind, _) in aggregates.items()))
 
 

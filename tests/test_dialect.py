@@ -51,6 +51,22 @@ def test_moving_frames_against_plain(spark, kind):
         assert got[i] == ((sum(values), len(values), sum(values) / len(values), min(values), max(values)) if values else (None, 0, None, None, None))
 
 
+def test_moving_frames_send_nothing_through_the_driver(spark, monkeypatch):
+    """Both sides of each join grow with the rows, however small their files look: none may be planned as a broadcast."""
+    plans, write = [], frames.materialised
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(frames, "materialised", noted)
+    df = spark.range(400).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("k"), F.lit(1).alias("v"))
+    out = frames.moving(df, ["g"], "k", F.col("k"), F.col("k"), {"n": ("count", "v")}, frame="range")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert out.agg(F.sum("n")).first()[0] == sum(1 for a in range(400) for b in range(400) if a % 3 == b % 3 and 0 <= b % 50 <= 2 * (a % 50))
+
+
 def test_moving_sums_lose_no_digits(spark):
     df = spark.createDataFrame([(1, 1e17), (2, 1.0), (3, 1.0), (4, None), (5, float("nan")), (6, 2.0)], "k int, v double").withColumn("g", F.lit(1))
     got = [r.s for r in ordering.moving_sum(df, ["g"], "k", F.lit(0), F.lit(0), "v", "s").orderBy("k").collect()]
