@@ -1,10 +1,11 @@
 """Window aggregates over frames whose bounds are expressions of the row.
 
-A frame is cut into blocks of 1, 2, 4, ... rows, of which it has at most two of each size. The aggregates of
-all blocks up to the longest frame's size are made once and joined to the frames, so work grows with the
-logarithm of the frames and sums are made by adding only: no difference of running totals loses digits.
-Both sides of its joins grow with the rows, which the size of a well-compressed scratch file doesn't show: they are
-merge joins by a hint, so that no side goes through the driver as a broadcast.
+Where no frame of a table reaches over more than SHORT rows, each row gets the values of its neighbours by LAG and LEAD
+and cuts its own frame out of them: one sort, no join. Otherwise a frame is cut into blocks of 1, 2, 4, ... rows, of
+which it has at most two of each size. The aggregates of all blocks up to the longest frame's size are made once and
+joined to the frames, so work grows with the logarithm of the frames. Both sides of these joins grow with the rows, which
+the size of a well-compressed scratch file doesn't show: they are merge joins by a hint, so that no side goes through
+the driver as a broadcast. Either way sums are made by adding only: no difference of running totals loses digits.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+from pyspark.sql.window import WindowSpec
 
 from lattica.operators.ordering import keys, over
 from lattica.sources.scratch import materialised
 
 BLOCKS = "array<struct<k:int,b:bigint>>"
+SHORT = 32
 
 
 def _blocks(low: Column, high: Column, levels: int) -> Column:
@@ -47,6 +51,35 @@ def _range_bounds(base: DataFrame, levels: int = 0) -> DataFrame:
     return counted.groupBy("_g", "_rn").agg(F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("_lo"), F.max(F.when(F.col("kind") == 2, F.col("upto"))).alias("_hi"))
 
 
+def _reach(df: DataFrame, start: Column, end: Column) -> tuple[int, int] | None:
+    """The furthest rows before and after a row that any frame of the table takes in; None if all frames are empty."""
+    before, after = df.filter(start + end >= 0).agg(F.max(start), F.max(end)).first()
+    return None if before is None else (before, after)
+
+
+def _near(df: DataFrame, spec: WindowSpec, start: Column, end: Column, reach: tuple[int, int], aggregates: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """moving() over rows, for frames within reach. Beyond the ends of a partition LAG and LEAD give null, which the aggregates skip."""
+    before, after = reach
+    columns = sorted({c for _, c in aggregates.values()})
+    around = {f"_near{i}": F.array(*(F.lag(c, -j).over(spec) for j in range(-before, after + 1))) for i, c in enumerate(columns)}
+    held = df.select("*", start.alias("_start"), end.alias("_end"), *(x.alias(name) for name, x in around.items()))
+    first, size = (F.lit(before + 1) - F.col("_start")).cast("int"), (F.col("_start") + F.col("_end") + 1).cast("int")
+    cut = {f"_in{i}": F.filter(F.when(F.col("_start") + F.col("_end") >= 0, F.slice(f"_near{i}", first, size)), F.isnotnull) for i in range(len(columns))}
+    total = []
+    for name, (kind, column) in aggregates.items():
+        values = F.col(f"_in{columns.index(column)}")
+        n = F.greatest(F.size(values), F.lit(0)).cast("bigint")  # of an empty frame null
+        value = {"sum": lambda: _added(values, df, column), "count": lambda: n, "avg": lambda: _added(values, df, column).cast("double") / F.nullif(n, F.lit(0)), "min": lambda: F.array_min(values), "max": lambda: F.array_max(values)}[kind]()
+        total.append(value.alias(name))
+    return held.select("*", *(x.alias(name) for name, x in cut.items())).select("*", *total).drop("_start", "_end", *around, *cut)
+
+
+def _added(values: Column, df: DataFrame, column: str) -> Column:
+    """SUM of an array of column's values without nulls, in the type that sums of blocks have; null if it is empty."""
+    kind = df.agg(F.sum(column).alias("s")).agg(F.sum("s")).schema[0].dataType
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, x: (a + x.cast(kind)).cast(kind)))
+
+
 def moving(df: DataFrame, partition: Sequence[str], by: str | Sequence[str], start: Column, end: Column, aggregates: Mapping[str, tuple[str, str]], frame: str = "rows") -> DataFrame:
     """df with aggregates, name -> (sum, count, avg, min or max, column), over each row's own frame.
 
@@ -58,6 +91,11 @@ def moving(df: DataFrame, partition: Sequence[str], by: str | Sequence[str], sta
     names = [by] if isinstance(by, str) else list(by)
     columns = sorted({c for _, c in aggregates.values()})
     spec = over(partition, *names)
+    if frame == "rows" and all(kind not in ("sum", "avg") or isinstance(df.select(c).schema[0].dataType, NumericType) for kind, c in aggregates.values()):
+        low, high = F.ceil(start).cast("bigint"), F.floor(end).cast("bigint")
+        before, after = _reach(df, low, high) or (0, 0)
+        if before + after < SHORT:
+            return _near(df, spec, low, high, (before, after), aggregates)
     group = F.struct(*(F.col(k).alias(f"p{i}") for i, k in enumerate(partition))) if partition else F.lit(0)
     size = F.count(F.lit(1)).over(W.partitionBy(*partition))
     numbered = df.select(

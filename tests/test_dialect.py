@@ -67,6 +67,27 @@ def test_moving_frames_send_nothing_through_the_driver(spark, monkeypatch):
     assert out.agg(F.sum("n")).first()[0] == sum(1 for a in range(400) for b in range(400) if a % 3 == b % 3 and 0 <= b % 50 <= 2 * (a % 50))
 
 
+def test_short_moving_frames_take_no_join(spark, monkeypatch):
+    """Frames of few rows: one sort, no join and no scratch table; the same rows as from blocks, also for bounds on one side of the row and frames that are empty."""
+    wrote, write = [], frames.materialised
+    monkeypatch.setattr(frames, "materialised", lambda df, name: wrote.append(name) or write(df, name))
+    k = F.col("id")
+    df = spark.range(200).select("id", (k % 3).alias("g"), F.when(k % 4 > 0, k * 7 % 23).alias("i"), (k * 5 % 17).cast("decimal(9, 2)").alias("d"), (k % 11 - 4).alias("before"), F.when(k % 5 > 0, k % 8 - 3).alias("after"))
+    wanted = {f"{kind}_{c}": (kind, c) for kind in ("sum", "count", "avg", "min", "max") for c in ("i", "d")}
+
+    def rows(before, after):
+        return frames.moving(df, ["g"], ["-id"], before, after, wanted)
+
+    bounds = [(F.col("before"), F.col("after")), (F.lit(-20), F.col("after") + 25), (F.lit(0), F.lit(-1)), (F.lit(3), F.lit(None).cast("int"))]
+    short = [rows(*b) for b in bounds]
+    assert not wrote and not any("Join" in x._jdf.queryExecution().executedPlan().toString() for x in short)
+    monkeypatch.setattr(frames, "SHORT", 0)
+    for b, x in zip(bounds, short, strict=True):
+        y = rows(*b)
+        assert x.dtypes == y.dtypes and sorted(x.collect(), key=lambda r: r.id) == sorted(y.collect(), key=lambda r: r.id)
+    assert wrote
+
+
 def test_moving_sums_lose_no_digits(spark):
     df = spark.createDataFrame([(1, 1e17), (2, 1.0), (3, 1.0), (4, None), (5, float("nan")), (6, 2.0)], "k int, v double").withColumn("g", F.lit(1))
     got = [r.s for r in ordering.moving_sum(df, ["g"], "k", F.lit(0), F.lit(0), "v", "s").orderBy("k").collect()]
