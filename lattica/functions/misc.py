@@ -26,9 +26,17 @@ def number_text(x: Column, fmt: str | None = None) -> Column:
     if fmt is None:
         text = x.cast("string")
         return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")).otherwise(text)
-    after = fmt.upper().partition(".")[2].rstrip("SMIPR$")
-    signed = fmt if set(fmt.upper()) & set("SMP") else f"MI{fmt}"
-    return F.trim(F.to_char(x.cast(f"decimal(38,{len(after)})"), F.lit(signed)))
+    body = fmt.upper()
+    after = body.partition(".")[2].rstrip("SMIPR$")
+    lead = next((s for s in ("S", "MI") if body.startswith(s)), "")
+    tail = next((s for s in ("S", "MI", "PR") if body.endswith(s)), "") if not lead else ""
+    n = x.cast(f"decimal(38,{len(after)})")
+    # the sign is put on by hand: Spark drops the zero before the point of a fraction that has a sign in front
+    text = F.trim(F.to_char(F.abs(n), F.lit(body.removeprefix(lead).removesuffix(tail))))
+    if tail == "PR":
+        return F.when(n < 0, F.concat(F.lit("<"), text, F.lit(">"))).otherwise(text)
+    sign = F.when(n < 0, "-").otherwise("+" if "S" in (lead, tail) else "")
+    return F.concat(text, sign) if tail else F.concat(sign, text)
 
 
 def log(*args: Column) -> Column:

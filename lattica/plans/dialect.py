@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,15 @@ def found_rows_of_a_page(spark, sf_dir):
 @query("""SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS whole, regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR), '0+$', ''), '\\.$', '') AS plain, printf('%.2f', c_acctbal) AS fixed, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS padded,
     CAST(c_acctbal AS DECIMAL(18, 2)) + 1.5 AS added, c_acctbal > 4000.5 AS more FROM customer""", added="DECIMAL(38, 10)")
 def number_texts_and_casts(spark, sf_dir):
-    b = F.col("c_acctbal").cast("decimal(18, 2)")
+    """A key of over nine digits or below zero doesn't fit a format of nine: LPAD pads or cuts its text, as in the SQL.
+    Cents are rounded from the number itself and not from its shortest text."""
+    k, x = F.col("c_custkey"), F.col("c_acctbal")
+    b = (F.round(x * 100).cast("decimal(18, 0)") * F.lit(Decimal("0.01"))).cast("decimal(18, 2)")
+    cents = F.expr("format_number(c_acctbal, '0.00')").cast("decimal(18, 2)")
+    padded = F.when(k.between(0, 999999999), dialect("to_nchar")(k, "000000000")).otherwise(F.lpad(dialect("to_nchar")(k), 9, "0"))
     return load(spark, sf_dir, "customer").select(
-        "c_custkey", dialect("to_char")(F.col("c_custkey")).alias("whole"), dialect("to_char")(b).alias("plain"), dialect("to_char")(b, "999999990.00").alias("fixed"), dialect("to_nchar")(F.col("c_custkey"), "000000000").alias("padded"),
-        compat.arithmetic("+", b, F.lit("1.5")).cast("decimal(38, 10)").alias("added"), compat.compare(">", b.cast("string"), F.lit(4000.5)).alias("more"),
+        "c_custkey", dialect("to_char")(k).alias("whole"), dialect("to_char")(b).alias("plain"), dialect("to_char")(cents, "9" * 15 + "0.00").alias("fixed"), padded.alias("padded"),
+        compat.arithmetic("+", b, F.lit("1.5")).cast("decimal(38, 10)").alias("added"), compat.compare(">", x.cast("string"), F.lit(4000.5)).alias("more"),
     )
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from lattica.functions import compat, misc
 from lattica.functions.registry import Unsupported, aliases, dialect
 from lattica.operators import dml, frames, hierarchy, joins, ordering
+from lattica.plans import catalogue
 from lattica.sources import scratch
 from lattica.sources.json_table import json_table
+from tests.oracles import connect, difference
 
 
 def one(spark, *columns):
@@ -212,3 +214,19 @@ def test_scratch_tables_go_but_for_the_last(spark):
     assert last.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
         first.count()
+
+
+def test_number_formats_of_signed_fractions(spark):
+    """The zero before the point stays behind a sign."""
+    df = spark.createDataFrame([(1, "-0.5"), (2, "0.5"), (3, "-12.25")], "k int, v string").withColumn("v", F.col("v").cast("decimal(9, 2)"))
+    formats = ("990.00", "S990.00", "MI990.00", "990.00MI", "990.00S", "990.00PR")
+    got = df.orderBy("k").select(*(dialect("to_char")(F.col("v"), f).alias(f) for f in formats)).collect()
+    assert [tuple(r) for r in got] == [("-0.50", "-0.50", "-0.50", "0.50-", "0.50-", "<0.50>"), ("0.50", "+0.50", "0.50", "0.50", "0.50+", "0.50"), ("-12.25", "-12.25", "-12.25", "12.25-", "12.25-", "<12.25>")]
+
+
+def test_number_texts_of_odd_customers(spark, tmp_path):
+    """Fractions below zero, keys that are wider than their format and balances between two cents, against the SQL."""
+    odd = [(1, -0.5), (1000000007, -0.01), (-5, 0.0), (-1234567890, 1234567890123.25), (999999999, 4000.501), (None, None), (7, 2.675), (8, 0.125), (9, 1.005), (10, -2.665)]
+    spark.createDataFrame([(k, "n", 1, x, "m") for k, x in odd], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    name = "number_texts_and_casts"
+    assert difference(catalogue.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.ORACLES[name]) == ""
